@@ -29,6 +29,10 @@ def query_tokens(query: str, lower: bool = True) -> list[str]:
     return [t for t in re.split(SPACE, query.lower() if lower else query) if t]
 
 
+def _times(ws: str, term: str) -> Column:
+    return F.size(F.filter(ws, lambda x: x == term))
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True) -> DataFrame:
     """(term, id, tf): the postings."""
     return docs.select(id_col, F.explode(tokens(F.col(text_col), lower)).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
@@ -44,7 +48,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = 20, id_col: str = "doc_id"
     cols = [id_col, F.size("ws").alias("dl"), *([where.alias("ok")] if where is not None else [F.lit(True).alias("ok")])]
     base = docs.withColumn("ws", tokens(F.col(text_col), lower))
     names = list(times)
-    base = base.select(*cols, *[F.size(F.filter("ws", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(names)])
+    base = base.select(*cols, *[_times("ws", t).alias(f"tf{i}") for i, t in enumerate(names)])
     stats = base.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(names))])
     j = base.where(F.col("ok")).join(F.broadcast(stats))  # one row
     total, present = F.lit(0.0), F.lit(True)

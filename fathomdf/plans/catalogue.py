@@ -1,4 +1,595 @@
-"""The query catalogue: one entry per operator, with its SQL twin."""
+"""The query catalogue: one entry per operator, each over its whole tables, with its SQL twin for an independent engine."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fathomdf.functions import calc as calc_
+from fathomdf.functions import tokens, toon
+from fathomdf.operators import agents, filters, fusion, graph, lexical, sketches, tables, vector
+from fathomdf.plans import compact_query
+from fathomdf.sources.catalog import register, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with its SQL."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def spark_sql(name: str, text: str, other: str | None = None) -> None:
+    """A query that both engines can run as SQL (other: the second engine's spelling)."""
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(text)
+
+    fn.__name__ = name
+    query(other or text)(fn)
+
+
+D = lambda y, m, d: dt.datetime(y, m, d)
+
+# ---------------------------------------------------------------- scans, projections, predicates
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 30")
+def scan_filter_project(spark, d):
+    return table(spark, d, "lineitem").where((F.col("l_shipdate") < F.lit(D(1995, 1, 1))) & (F.col("l_quantity") > 30)).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN ('Brand#12', 'Brand#23', 'Brand#34') AND p_name LIKE '%a%'")
+def in_between_like(spark, d):
+    f = filters.Build().between("p_size", 5, 15).isin("p_brand", ["Brand#12", "Brand#23", "Brand#34"]).contains("p_name", "a").filter
+    return f.apply(table(spark, d, "part")).select("p_partkey", "p_name", "p_size")
+
+
+spark_sql("null_logic", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, nullif(o_orderstatus, 'F') = 'O' AS eq, nullif(o_orderstatus, 'F') IS NULL AS missing, coalesce(nullif(o_orderstatus, 'F'), '-') AS filled FROM orders WHERE nullif(o_orderstatus, 'F') IS NULL OR nullif(o_orderstatus, 'F') <> 'P'")
+spark_sql("case_when", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS band, CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 0 END AS building FROM customer")
+spark_sql("string_funcs", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, length(p_name) AS n, substring(p_name, 2, 4) AS s, trim(concat('  ', p_brand, ' ')) AS t, p_brand || '/' || p_type AS j, abs(p_size - 25) AS a FROM part")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, round(sqrt(l_quantity) + power(l_discount, 2) - abs(l_tax - 0.05), 6) AS mix, CASE WHEN l_quantity % 2 <> 0 THEN 1.0 ELSE 0.0 END AS odd, greatest(l_tax, l_discount) AS top FROM lineitem")
+def calc_expr(spark, d):
+    c = calc_.calc
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(c("l_extendedprice * (1 - l_discount) * (1 + l_tax)"), 6).alias("charge"), F.round(c("sqrt(l_quantity) + l_discount ^ 2 - abs(l_tax - 0.05)"), 6).alias("mix"), c("if(l_quantity % 2, 1, 0)").alias("odd"), c("max(l_tax, l_discount)").alias("top"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'A' OR l_linestatus = 'O') AND (l_quantity >= 10 AND l_quantity < 20) AND l_returnflag NOT IN ('R')")
+def filter_ir(spark, d):
+    f = filters.Build().any(filters.Atom("eq", "l_returnflag", "A"), filters.Atom("eq", "l_linestatus", "O")).ge("l_quantity", 10).lt("l_quantity", 20).not_in("l_returnflag", ["R"]).filter
+    return f.apply(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR (o_totalprice >= 50000 AND o_totalprice <= 150000))")
+def filter_negated(spark, d):
+    f = filters.Filter(((filters.Atom("eq", "o_orderstatus", "F"), filters.Atom("range", "o_totalprice", (50000, 150000, False, False))),)).negate()
+    return f.apply(table(spark, d, "orders")).select("o_orderkey")
+
+
+@query("SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('click', 'view') AND value > 20")
+def scope_filter(spark, d):
+    e = table(spark, d, "events").withColumn("namespace", F.col("event_type"))
+    return filters.Scope(namespaces=("click", "view")).apply(e, filters.Build().gt("value", 20).filter).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 42")
+def primary_key_lookup(spark, d):
+    return tables.lookup(table(spark, d, "customer"), "c_custkey", 42)
+
+
+@query("SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-08'")
+def time_index_scan(spark, d):
+    return tables.time_scan(table(spark, d, "events"), "ts", F.lit(D(2024, 1, 5)), F.lit(D(2024, 1, 8))).select("event_id", "ts", "value")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#00000001%'")
+def prefix_scan(spark, d):
+    return tables.prefix_scan(table(spark, d, "customer"), "c_name", "Customer#00000001").select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+def range_scan(spark, d):
+    return tables.range_scan(table(spark, d, "orders"), "o_orderkey", 100, 900).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+def multi_index_intersect(spark, d):
+    o = table(spark, d, "orders")
+    return o.where("o_orderstatus = 'O'").select("o_orderkey").intersect(o.where("o_totalprice > 100000").select("o_orderkey"))
+
+
+@query("WITH v AS (SELECT user_id, event_id, epoch_us(ts) AS commit_ts, value, event_id % 7 AS txn_id FROM events), s AS (SELECT * FROM v WHERE (commit_ts <> 0 AND commit_ts < 1705276800000000) OR txn_id = 3) SELECT user_id, max(commit_ts) AS commit_ts, arg_max(event_id, (commit_ts, event_id)) AS event_id FROM s GROUP BY user_id")
+def mvcc_visible_latest(spark, d):
+    v = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("commit_ts"), (F.col("event_id") % 7).alias("txn_id"))
+    return tables.latest(tables.visible(v, 1705276800000000, 3), ["user_id"], "commit_ts", "event_id").select("user_id", "commit_ts", "event_id")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20 AND p_retailprice < 1500 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def compact_select(spark, d):
+    register(spark, d, ("part",))
+    return compact_query.run(spark, "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20 AND p_retailprice < 1500").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+
+
+spark_sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(get_json_object(props, '$.k') AS BIGINT) > 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
+spark_sql("array_ops", "SELECT vec_id, element_at(embedding, 1) AS first, size(embedding) AS n, array_contains(array(1, 3, 5), label) AS odd FROM embeddings", "SELECT vec_id, embedding[1] AS first, len(embedding) AS n, list_contains([1, 3, 5], label) AS odd FROM embeddings")
+spark_sql("cast_ops", "SELECT o_orderkey, CAST(o_totalprice AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(o_orderkey AS STRING) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey AS VARCHAR) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50")
+spark_sql("bit_ops", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, o_orderkey ^ 5 AS x, shiftleft(o_orderkey, 2) AS l, shiftright(o_orderkey, 1) AS r FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, xor(o_orderkey, 5) AS x, o_orderkey << 2 AS l, o_orderkey >> 1 AS r FROM orders")
+
+# ---------------------------------------------------------------- joins, subqueries
+
+for _name, _how in (("join_inner", "JOIN"), ("join_left", "LEFT JOIN"), ("join_right", "RIGHT JOIN"), ("join_full", "FULL JOIN")):
+    spark_sql(_name, f"SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM (SELECT * FROM customer WHERE c_acctbal > 0) c {_how} (SELECT * FROM orders WHERE o_totalprice > 50000) o ON c.c_custkey = o.o_custkey")
+spark_sql("join_using", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) JOIN (SELECT r_name, r_regionkey AS k FROM region) USING (k)", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a JOIN (SELECT r_name, r_regionkey AS k FROM region) b USING (k)")
+spark_sql("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) b")
+spark_sql("join_cross_filter", "SELECT r.r_name, n.n_name FROM region r, nation n WHERE r.r_regionkey < n.n_regionkey")
+spark_sql("join_multi", "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
+spark_sql("semi_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+spark_sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+spark_sql("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)")
+spark_sql("correlated_subquery", "SELECT p.p_partkey, p.p_retailprice FROM part p WHERE p.p_retailprice >= (SELECT max(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
+spark_sql("cte_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE t > 300000) SELECT c_mktsegment, count(*) AS n, round(sum(t), 2) AS total FROM b JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
+spark_sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+
+
+@query("SELECT vec_id, embedding[1] AS x, c_name FROM embeddings JOIN customer ON c_custkey = label WHERE label > 0")
+def reference_resolve(spark, d):
+    e = table(spark, d, "embeddings").where("label > 0").select("vec_id", F.element_at("embedding", 1).alias("x"), F.struct(F.lit("customer").alias("table"), F.col("label").cast("long").alias("id")).alias("ref"))
+    c = table(spark, d, "customer")
+    return e.join(c, e["ref.id"] == c["c_custkey"]).select("vec_id", "x", "c_name")
+
+
+@query("WITH a AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3600 AS e FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id, event_id AS other, epoch(ts)::BIGINT AS s2, epoch(ts)::BIGINT + 7200 AS e2 FROM events WHERE event_type = 'error') SELECT event_id, other FROM a JOIN b USING (user_id) WHERE s < e2 AND s2 < e")
+def overlap_join(spark, d):
+    e = table(spark, d, "events")
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    a = e.where("event_type = 'purchase'").select("user_id", "event_id", t.alias("start"), (t + 3600).alias("end"))
+    b = e.where("event_type = 'error'").select(F.col("user_id").alias("user2"), F.col("event_id").alias("other"), t.alias("start2"), (t + 7200).alias("end2"))
+    return graph.interval_join(a.withColumn("k", F.col("user_id")), b.withColumn("k", F.col("user2")), 14400, ["k"]).select("event_id", "other")
+
+
+@query("SELECT p.event_id, arg_max(s.value, (s.ts, s.event_id)) AS as_of FROM events p LEFT JOIN events s ON s.user_id = p.user_id AND s.event_type = 'signup' AND s.ts <= p.ts WHERE p.event_type = 'purchase' GROUP BY p.event_id")
+def asof_latest(spark, d):
+    e = table(spark, d, "events")
+    facts = e.where("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return graph.as_of(facts, e.where("event_type = 'purchase'"), "user_id", "ts", "ts", "value").select("event_id", "as_of")
+
+
+# ---------------------------------------------------------------- aggregates, windows, sets
+
+spark_sql("agg_group_having", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
+spark_sql("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities, sum(DISTINCT o_orderkey % 100) AS s FROM orders GROUP BY o_orderstatus")
+spark_sql("agg_filter", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS spent FROM events GROUP BY user_id")
+spark_sql("group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+spark_sql("stddev_population", "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sd, round(var_pop(l_extendedprice), 2) AS v FROM lineitem GROUP BY l_returnflag")
+spark_sql("rollup_extra", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+spark_sql("cube_extra", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+spark_sql("grouping_sets_extra", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+spark_sql("topk_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+spark_sql("offset_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 30")
+spark_sql("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+spark_sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+spark_sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+spark_sql("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+spark_sql("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+spark_sql("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+spark_sql("window_rank", "SELECT event_id, user_id, row_number() OVER w AS rn, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dr FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+spark_sql("window_frame_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s3, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS run FROM events")
+spark_sql("window_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS near FROM orders")
+spark_sql("lag_lead", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, lead(event_type, 1, 'none') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events")
+
+
+@query("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::DOUBLE AS s FROM (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice::DECIMAL(18,2) AS o_totalprice FROM orders)")
+def window_groups_frame(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    o = o.withColumn("g", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority")))
+    return o.select("o_orderkey", F.sum("p").over(Window.partitionBy("o_custkey").orderBy("g").rangeBetween(-1, 0)).cast("double").alias("s"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+def topk_per_group(spark, d):
+    return tables.top_k_per_group(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+# ---------------------------------------------------------------- changing tables
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal * 1.1, 2) ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT (c_acctbal < -500)")
+def update_delete(spark, d):
+    t = tables.update(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_mktsegment = 'BUILDING'", c_acctbal="round(c_acctbal * 1.1, 2)")
+    return tables.delete(t, F.col("c_custkey").isin([])).join(table(spark, d, "customer").where("c_acctbal < -500").select("c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey > 20 UNION ALL SELECT s_suppkey, upper(s_name), 0.0 FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT s_suppkey + 100000, s_name, s_acctbal FROM supplier WHERE s_suppkey <= 5")
+def upsert_replace(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    new = s.where("s_suppkey <= 20").select("s_suppkey", F.upper("s_name").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
+    return tables.upsert(s, new.unionByName(s.where("s_suppkey <= 5").withColumn("s_suppkey", F.col("s_suppkey") + 100000)), ["s_suppkey"], "replace")
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey <= 20 THEN 1.5 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def upsert_update(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return tables.upsert(s, s.where("s_suppkey <= 20").select("s_suppkey", F.lit("x").alias("s_name"), F.lit(1.5).alias("s_acctbal")), ["s_suppkey"], "update", ["s_acctbal"])
+
+
+@query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey + 100000, s_name FROM supplier WHERE s_suppkey <= 5")
+def upsert_nothing(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return tables.upsert(s, s.where("s_suppkey <= 20").withColumn("s_name", F.lit("x")).unionByName(s.where("s_suppkey <= 5").withColumn("s_suppkey", F.col("s_suppkey") + 100000)), ["s_suppkey"], "nothing")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def latest_per_key(spark, d):
+    return tables.latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey")
+
+
+# ---------------------------------------------------------------- vectors
+
+Q7 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
+
+
+def query_vector(spark, d, vec_id: int = 7, scale: float = 1.0) -> list[float]:
+    return [float(x) * scale for x in table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]]
+
+
+def scaled(spark, d) -> DataFrame:
+    """Embeddings stretched by their id, so that metrics differ."""
+    return table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5)))
+
+
+_STRETCH = "list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 5))"
+for _m, _expr, _dir in (("cosine", f"list_cosine_similarity({_STRETCH}, {Q7})", "DESC"), ("l2", f"list_distance({_STRETCH}, {Q7})", "ASC"), ("dot", f"list_inner_product({_STRETCH}, {Q7})", "DESC"), ("l1", f"list_sum(list_transform(list_zip({_STRETCH}, {Q7}), lambda p: abs(p[1] - p[2])))", "ASC")):
+
+    def _knn(spark, d, m=_m):
+        return vector.knn(scaled(spark, d), query_vector(spark, d), 10, m)
+
+    _knn.__name__ = f"knn_{_m}"
+    query(f"SELECT vec_id, round({_expr}, 6) AS score FROM embeddings ORDER BY score {_dir}, vec_id LIMIT 10")(_knn)
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {Q7}), 6) AS score FROM embeddings WHERE label IN (1, 3, 5) AND vec_id <> 7 AND list_cosine_similarity(embedding::DOUBLE[], {Q7}) >= 0.1 ORDER BY score DESC, vec_id LIMIT 10")
+def knn_filtered(spark, d):
+    return vector.knn(table(spark, d, "embeddings"), query_vector(spark, d), 10, "cosine", where=F.col("label").isin(1, 3, 5) & (F.col("vec_id") != 7), min_score=0.1)
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
+def knn_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.knn_batch(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
+
+
+for _how, _agg in (("max", "max(s)"), ("mean", "avg(s)"), ("first", "arg_min(s, vec_id)"), ("last", "arg_max(s, vec_id)"), ("sum", "sum(s)")):
+
+    def _multi(spark, d, how=_how):
+        s = vector.score(table(spark, d, "embeddings"), query_vector(spark, d))
+        return vector.multi_vector(s, "label", "vec_id", how).withColumn("score", F.round("score", 5))
+
+    _multi.__name__ = f"multivector_{_how}"
+    query(f"SELECT label, round({_agg}, 5) AS score, arg_max(vec_id, (s, -vec_id)) AS best_chunk FROM (SELECT label, vec_id, list_cosine_similarity(embedding::DOUBLE[], {Q7}) AS s FROM embeddings) GROUP BY label")(_multi)
+
+
+@query("SELECT label, list_transform(list(x ORDER BY i), lambda v: round(v, 5)) AS embedding FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i) GROUP BY label")
+def embedding_rollup(spark, d):
+    r = vector.roll_up(table(spark, d, "embeddings"), ["label"])
+    return r.select("label", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+
+
+@query("WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS t FROM embeddings) SELECT vec_id, list_sum(list_transform(e, lambda x: abs(round(x * 127 / t))))::BIGINT AS levels FROM m")
+def quantise_i8(spark, d):
+    q = table(spark, d, "embeddings").select("vec_id", vector.quantise(vector.doubles(F.col("embedding")))["q"].alias("q"))
+    return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + F.abs(x.cast("long"))).alias("levels"))
+
+
+# ---------------------------------------------------------------- lexical, fusion, decay
+
+_WS = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')"
+
+
+def _bm25_sql(terms: list[str], where: str = "true", every: bool = False, k: int = 20, cols: str = "doc_id, score") -> str:
+    uniq = list(dict.fromkeys(terms))
+    tf = ", ".join(f"len(list_filter(ws, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(uniq))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(uniq)))
+    s = " + ".join(f"{terms.count(t)} * CASE WHEN tf{i} > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg)) ELSE 0 END" for i, t in enumerate(uniq))
+    need = (" AND " if every else " OR ").join((f"(tf{i} > 0 OR df{i} = 0)" if every else f"tf{i} > 0") for i in range(len(uniq)))
+    any_ = " OR ".join(f"tf{i} > 0" for i in range(len(uniq)))
+    return f"(WITH b AS (SELECT *, {_WS} AS ws FROM documents), t AS (SELECT doc_id, lang, len(ws) AS dl, {tf} FROM b), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avg, {df} FROM t) SELECT {cols} FROM (SELECT doc_id, round({s}, 6) AS score FROM t, s WHERE ({need}) AND ({any_}) AND ({where})) ORDER BY score DESC, doc_id LIMIT {k})"
+
+
+@query(_bm25_sql(["the", "erer", "onst", "the"]))
+def bm25_or(spark, d):
+    return lexical.bm25(table(spark, d, "documents"), "the erer onst the")
+
+
+@query(_bm25_sql(["the", "thon", "of"], every=True))
+def bm25_and(spark, d):
+    return lexical.bm25(table(spark, d, "documents"), "the thon of", all_terms=True)
+
+
+@query(_bm25_sql(["de", "la"], "lang = 'fr'"))
+def bm25_filtered_lang(spark, d):
+    return lexical.bm25(table(spark, d, "documents"), "de la", where=F.col("lang") == "fr")
+
+
+@query(f"WITH b AS (SELECT doc_id, {_WS} AS ws FROM documents), t AS (SELECT doc_id, len(ws) AS dl, list_contains(ws, 'of') AS h0, list_contains(ws, 'the') AS h1, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the')) AS tf FROM b), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avg, least(count(*) FILTER (WHERE h0), count(*) FILTER (WHERE h1)) AS df FROM t) SELECT doc_id, tf, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)), 6) AS score FROM t, s WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def phrase(spark, d):
+    return lexical.phrase(table(spark, d, "documents"), "of the")
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY term, doc_id) GROUP BY term HAVING count(*) >= 20")
+def inverted_index(spark, d):
+    return lexical.index(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+
+
+def arms(spark, d) -> list[DataFrame]:
+    """A vector arm and a lexical arm over ids paired by number."""
+    a = vector.knn(table(spark, d, "embeddings"), query_vector(spark, d), 50).select(F.col("vec_id").alias("id"), "score")
+    return [a, lexical.bm25(table(spark, d, "documents"), "the of and", 50).select(F.col("doc_id").alias("id"), "score")]
+
+
+_ARMS = f"a AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {Q7}), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 50), b AS (SELECT doc_id AS id, score FROM {_bm25_sql(['the', 'of', 'and'], k=50)}), ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM a), rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM b), na AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM a), nb AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM b)"
+
+
+@query(f"WITH {_ARMS} SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + r) AS s FROM ra UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) FROM rb) GROUP BY id")
+def rrf(spark, d):
+    return fusion.rrf(arms(spark, d))
+
+
+@query(f"WITH {_ARMS} SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 0.7 * score AS s FROM na UNION ALL SELECT id, 0.3 * score FROM nb) GROUP BY id")
+def linear_fusion(spark, d):
+    return fusion.linear(arms(spark, d), (0.7, 0.3))
+
+
+@query(f"WITH {_ARMS} SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM na UNION ALL SELECT * FROM nb) GROUP BY id")
+def max_fusion(spark, d):
+    return fusion.greatest(arms(spark, d))
+
+
+@query(f"WITH {_ARMS} SELECT ra.id, round(coalesce(b.score, 1 - r), 6) AS score FROM ra LEFT JOIN b ON ra.id = b.id")
+def cascade(spark, d):
+    a, b = arms(spark, d)
+    return fusion.cascade(a, b)
+
+
+@query(f"WITH {_ARMS} SELECT id, round(avg(score), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id")
+def raw_mean_fusion(spark, d):
+    return fusion.raw_fusion(arms(spark, d), "mean")
+
+
+@query("SELECT event_id, round(0.7 * value / 100 + 0.3 * greatest(power(0.5, greatest(epoch(TIMESTAMP '2024-01-31') - epoch(ts), 0) / 86400.0), 0.01), 6) AS score FROM events ORDER BY score DESC, event_id LIMIT 50")
+def decay_rank(spark, d):
+    age = (F.lit(1706659200.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("double")
+    return table(spark, d, "events").select("event_id", F.round(fusion.decayed(F.col("value") / 100, age), 6).alias("score")).orderBy(F.desc("score"), "event_id").limit(50)
+
+
+# ---------------------------------------------------------------- graph
+
+
+def edges(spark, d) -> DataFrame:
+    """customer -> nation -> region, order -> customer, as one property graph."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"), F.lit("placed_by").alias("type"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.lit("lives_in"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit("part_of"))
+    return o.union(c).union(n)
+
+
+_EDGES = "e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'placed_by' AS type FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives_in' FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), t(id, depth) AS (SELECT 'n3', 0 UNION SELECT u.dst, t.depth + 1 FROM t JOIN u ON u.src = t.id WHERE t.depth < 2) SELECT id, min(depth) AS depth FROM t GROUP BY id")
+def bfs_depth(spark, d):
+    return graph.bfs(edges(spark, d), ["n3"], 2, "both")
+
+
+@query("SELECT 'o1' AS a, 'c' || o_custkey AS b, 'n' || c_nationkey AS c, 'r' || n_regionkey AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey = 1")
+def shortest_path(spark, d):
+    target = table(spark, d, "orders").where("o_orderkey = 1").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey").first()
+    path = graph.shortest_path(edges(spark, d), "o1", f"r{target[0]}", 5) if target else None
+    return spark.createDataFrame([tuple(path)] if path else [], "a string, b string, c string, d string")
+
+
+@query(f"WITH {_EDGES} SELECT dst AS id, type, 'out' AS direction FROM e WHERE src = 'n5' UNION ALL SELECT src, type, 'in' FROM e WHERE dst = 'n5'")
+def neighbours(spark, d):
+    return graph.neighbours(edges(spark, d), "n5", "both")
+
+
+@query(f"WITH {_EDGES}, k AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 5000 UNION SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey < 10) SELECT src, dst, type FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+def subgraph(spark, d):
+    k = table(spark, d, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(table(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit("n"), "n_nationkey")))
+    return graph.subgraph(edges(spark, d), k)
+
+
+def temporal(spark, d) -> DataFrame:
+    """A user's events as edges valid until the same user's next event of the type."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), F.col("event_id").alias("dst"), F.col("event_type").alias("type"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"))
+    return e.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("src", "type").orderBy("valid_from", "dst")))
+
+
+_TEMPORAL = "t AS (SELECT user_id AS src, event_id AS dst, event_type AS type, epoch_ms(ts) AS valid_from, lead(epoch_ms(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS valid_to FROM events)"
+
+
+@query(f"WITH {_TEMPORAL} SELECT src, dst, type FROM t WHERE valid_from <= 1705276800000 AND (valid_to IS NULL OR 1705276800000 < valid_to)")
+def edges_at_time(spark, d):
+    return graph.edges_at(temporal(spark, d), 1705276800000).select("src", "dst", "type")
+
+
+@query(f"WITH {_TEMPORAL} SELECT src, dst, type FROM t WHERE (valid_to IS NULL OR 1705276800000 < valid_to) AND valid_from < 1705363200000")
+def edges_in_window(spark, d):
+    e = temporal(spark, d)
+    return e.where(graph.overlaps(1705276800000, 1705363200000)).select("src", "dst", "type")
+
+
+@query("SELECT epoch_ms(ts) // 3600000 AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def time_bucket(spark, d):
+    return table(spark, d, "events").groupBy(graph.bucket(F.unix_millis(F.col("ts").cast("timestamp")), "hour").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# ---------------------------------------------------------------- queues, policies, memory, views
+
+
+def tasks(spark, d) -> DataFrame:
+    """Orders as a task queue."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("visible_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "claimed").otherwise("done").alias("state"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 86400 * 30).alias("lease_until"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"))
+
+
+_TASKS = "q AS (SELECT o_orderkey AS task_id, substr(o_orderpriority, 1, 1)::INT AS priority, epoch(o_orderdate)::BIGINT AS visible_at, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'claimed' ELSE 'done' END AS state, epoch(o_orderdate)::BIGINT + 86400 * 30 AS lease_until, (o_orderkey % 4)::INT AS attempts FROM orders)"
+
+
+@query(f"WITH {_TASKS} SELECT task_id, priority FROM q WHERE visible_at <= 800000000 AND (state = 'pending' OR (state = 'claimed' AND lease_until <= 800000000)) ORDER BY priority, visible_at, task_id LIMIT 15")
+def queue_dequeue(spark, d):
+    return agents.dequeue(tasks(spark, d), 800000000, 15).select("task_id", "priority")
+
+
+@query(f"WITH {_TASKS} SELECT state, count(*) AS n, count(*) FILTER (WHERE visible_at > 800000000) AS delayed, max(attempts) AS max_attempts FROM q GROUP BY state")
+def queue_stats(spark, d):
+    return agents.queue_stats(tasks(spark, d), 800000000)
+
+
+@query(f"WITH {_TASKS} SELECT CASE WHEN state = 'claimed' AND lease_until <= 800000000 THEN CASE WHEN attempts >= 3 THEN 'dead_letter' ELSE 'pending' END ELSE state END AS state, count(*) AS n FROM q GROUP BY 1")
+def queue_dead_letter(spark, d):
+    return agents.settle(tasks(spark, d), 800000000, 3).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'x' ELSE 'x' END AS dummy, CASE WHEN regexp_matches(event_type, '^err') THEN 'deny' WHEN regexp_matches(event_type, 'click|view') THEN 'log' ELSE 'allow' END AS outcome FROM events")
+def policy_eval(spark, d):
+    r = table(spark, d, "events").select("event_id", F.lit("before_read").alias("trigger"), F.col("event_type").alias("key"))
+    rules = [{"trigger": "before_read", "pattern": "^err", "outcome": "deny"}, {"trigger": "before_read", "pattern": "click|view", "outcome": "log"}, {"trigger": "other", "pattern": ".", "outcome": "deny"}]
+    return agents.policy(r, rules, "event_id").withColumn("dummy", F.lit("x"))
+
+
+@query("SELECT event_id, user_id, nth FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS nth FROM events) WHERE nth <= 2")
+def rate_limit(spark, d):
+    return agents.rate_limited(table(spark, d, "events"), "user_id", "ts", "1 day", 2, "event_id").select("event_id", "user_id", "nth")
+
+
+@query("WITH s AS (SELECT event_id, label AS trigger_id, round(value / (1 + label), 6) AS score FROM events, (SELECT DISTINCT label FROM embeddings WHERE label < 5)), r AS (SELECT label AS trigger_id, label <> 2 AS enabled, 5.0 * label + 8 AS threshold, 10 - label AS priority FROM (SELECT DISTINCT label FROM embeddings WHERE label < 5)), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, trigger_id) AS rn FROM s) SELECT event_id, trigger_id, row_number() OVER (PARTITION BY event_id ORDER BY priority DESC, score DESC, trigger_id) AS place FROM b JOIN r USING (trigger_id) WHERE rn <= 3 AND enabled AND score >= threshold")
+def semantic_triggers(spark, d):
+    labels = table(spark, d, "embeddings").where("label < 5").select("label").distinct()
+    s = table(spark, d, "events").withColumn("label", F.explode(F.array(*[F.lit(i) for i in range(5)]))).join(labels, "label").select("event_id", F.col("label").alias("trigger_id"), F.round(F.col("value") / (1 + F.col("label")), 6).alias("score"))
+    r = labels.select(F.col("label").alias("trigger_id"), (F.col("label") != 2).alias("enabled"), (5.0 * F.col("label") + 8).alias("threshold"), (10 - F.col("label")).alias("priority"))
+    return agents.triggers(s, r, 3).select("event_id", "trigger_id", "place")
+
+
+@query("WITH g AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS run, ts, event_type FROM events WHERE ts < TIMESTAMP '2024-01-20') SELECT user_id, run, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY user_id, run")
+def memory_compaction(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("text"))
+    return agents.compact(e, F.lit(D(2024, 1, 20)), 10, ["user_id"]).select("user_id", "run", "n", "first_ts", "last_ts")
+
+
+@query("SELECT event_id, ts, event_type, value FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 200) WHERE event_type = 'error'")
+def tail(spark, d):
+    return tables.tail(table(spark, d, "events"), 200, ["event_id"], "event_type = 'error'").select("event_id", "ts", "event_type", "value")
+
+
+@query("SELECT event_id FROM events WHERE lower(event_type) LIKE '%click%' AND (ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12')")
+def timeline(spark, d):
+    return agents.timeline(table(spark, d, "events"), "CLICK", F.lit(D(2024, 1, 10)), F.lit(D(2024, 1, 12)), "event_type").select("event_id")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def last_n(spark, d):
+    return tables.last_n(table(spark, d, "events").select("event_id", "ts"), 20, "ts", "event_id")
+
+
+for _v, _sql in {
+    "conversation_view": "SELECT conv_id, turn, role, text FROM conversations",
+    "tool_calls_view": "SELECT event_id, user_id, ts, event_type, value FROM events WHERE event_type IN ('click', 'purchase')",
+    "errors_view": "SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'",
+    "episode_summary_view": "SELECT user_id, ts::DATE::VARCHAR AS episode, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM events GROUP BY user_id, ts::DATE",
+    "entity_directory_view": "SELECT user_id, count(*) AS n_events, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id",
+    "session_timeline_view": "SELECT user_id, ts, event_type, value FROM events",
+    "metrics_view": "SELECT user_id, ts::DATE::VARCHAR AS episode, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY user_id, ts::DATE",
+}.items():
+
+    def _view(spark, d, v=_v):
+        df = agents.views(spark, table(spark, d, "events"), table(spark, d, "conversations"))[v]
+        return df.withColumns({c: F.round(c, 4) for c in ("total", "mean") if c in df.columns} | {c: F.col(c).cast("string") for c in ("episode",) if c in df.columns})
+
+    _view.__name__ = _v
+    query(_sql)(_view)
+
+# ---------------------------------------------------------------- tokens, compact text
+
+
+@query("SELECT lang, sum(ceil(strlen(text) / 4.0))::BIGINT AS tokens FROM documents GROUP BY lang")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.sum(tokens.text_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("SELECT conv_id, turn, tokens, running FROM (SELECT conv_id, turn, ceil(strlen(text) / 4.0)::BIGINT AS tokens, sum(ceil(strlen(text) / 4.0)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running FROM conversations) WHERE running <= 300")
+def budget_prefix(spark, d):
+    return tokens.prefix_within(table(spark, d, "conversations"), 300, tokens.text_tokens(F.col("text")), [F.desc("turn")], ["conv_id"]).select("conv_id", "turn", "tokens", "running")
+
+
+@query("SELECT concat_ws(',', p_partkey, p_brand, p_size, format('{:.2f}', p_retailprice)) AS line FROM part")
+def toon_rows(spark, d):
+    return toon.rows(table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"))
+
+
+@query("SELECT count(*) AS rows, ceil((sum(strlen(concat_ws(',', n_nationkey, n_name, n_regionkey))) + count(*) + 43) / 4.0)::BIGINT AS compact_tokens FROM nation")
+def toon_savings(spark, d):
+    return toon.savings(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation").select("rows", "compact_tokens")
+
+
+# ---------------------------------------------------------------- sketches
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS exact, true AS within FROM events GROUP BY event_type")
+def hll_bound(spark, d):
+    g = table(spark, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"), sketches.hll("user_id").alias("s"))
+    return g.select("event_type", "exact", (F.abs(sketches.hll_estimate("s") - F.col("exact")) <= F.greatest(F.lit(2), 0.03 * F.col("exact"))).alias("within"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem")
+def hll_merged(spark, d):
+    li = table(spark, d, "lineitem")
+    m = li.groupBy("l_shipdate").agg(sketches.hll("l_partkey").alias("s")).agg(sketches.hll_estimate(sketches.hll_merge("s")).alias("e"))
+    return li.agg(F.countDistinct("l_partkey").alias("exact")).join(m).select("exact", (F.abs(F.col("e") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
+
+
+@query("SELECT p, true AS within FROM (SELECT unnest([0.5, 0.9, 0.99]) AS p)")
+def quantile_bound(spark, d):
+    li = table(spark, d, "lineitem")
+    s = sketches.dd_sketch(li, "l_extendedprice")
+    exact = li.agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(f"p{i}") for i, p in enumerate((0.5, 0.9, 0.99))])
+    parts = [sketches.dd_quantile(s, p).join(exact).select(F.lit(p).cast("decimal(3,2)").cast("double").alias("p"), (F.abs(F.col("value") / F.col(f"p{i}") - 1) <= 0.02).alias("within")) for i, p in enumerate((0.5, 0.9, 0.99))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def heavy_hitters(spark, d):
+    return sketches.heavy_hitters(table(spark, d, "events"), "event_type", 3)
+
+
+@query("SELECT user_id, true AS bounded FROM events GROUP BY user_id")
+def count_min_bound(spark, d):
+    e = table(spark, d, "events")
+    s = sketches.count_min_table(e, "user_id")
+    exact = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    est = sketches.count_min_estimate(s, exact, "user_id")
+    return exact.join(est, "user_id").select("user_id", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + 0.001 * 3 * 1_000_000)).alias("bounded"))
+
+
+@query("SELECT CASE WHEN value > 0 THEN floor(log2(value))::BIGINT END AS bucket, count(*) AS n FROM events GROUP BY 1")
+def exponential_histogram(spark, d):
+    return sketches.exponential_histogram(table(spark, d, "events"), "value").select("bucket", "n")
+
+
+@query("SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) <= 128) GROUP BY user_id")
+def adaptive_sketch(spark, d):
+    g = table(spark, d, "events").groupBy("user_id").agg(F.round(sketches.adaptive_quantile("value", 0.5), 6).alias("median"), F.count("*").alias("n"))
+    return g.where("n <= 128").select("user_id", "median")
