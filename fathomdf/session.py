@@ -29,11 +29,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that it need not be installed there."""
+    """Make the session ready for the operators that run Python: send this package to the executors, once per application,
+    so that it need not be installed there, and, unless the batch size was set, take Arrow batches of 2,000 rows, since
+    rows here are whole texts.
+    """
     import os
     import tempfile
     import zipfile
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from fathomdf.session import ship
 
 SUPPORTED = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
 
@@ -54,5 +55,6 @@ def source(name: str, plugin: Callable[[dict], Plugin]) -> type[DataSource]:
 
 
 def scan(spark: SparkSession, kind: type[DataSource], **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(kind)
     return spark.read.format(kind.name()).options(**options).load()
