@@ -29,6 +29,8 @@ from .common import buffers, mix, pieces, powers, span_hash, spans
 
 LONG = 40
 BLOCK = 1 << 20
+#: Words looked up at once; distinct words kept before training sums are made; bytes of text scored together.
+LOT, BAG, LOAD = 40_000, 1_000_000, 20 << 20
 MARK = 32  # the byte before a word
 
 _B = np.arange(256)
@@ -84,29 +86,56 @@ class Lattice:
 
 
 class Words:
-    """The distinct words of a block, with the mark, grouped by length."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray, lattice: Lattice, extra: np.ndarray | None = None):
-        """extra: a number for each row that makes words of rows of another number distinct."""
-        data = LOWER[data]
-        s, e, self.at = spans(data, off, INSIDE)
-        h = span_hash(data, s, e)
-        if extra is not None:
-            row = np.repeat(np.arange(len(off) - 1), np.diff(self.at))
-            tag = extra[row]
-            h = mix(h + tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, first, self.inverse, self.count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        self.tag = tag[first] if extra is not None else None
-        s, size = s[first], (e - s)[first] + 1
+    """Distinct words with the mark before each: bytes, where each begins, its length, tag (a language's number) and count."""
+
+    def __init__(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, tag: np.ndarray, count: np.ndarray):
+        self.key, self.flat, self.size, self.tag, self.count = key, flat, size, tag, count
         self.base = np.cumsum(size) - size
-        word = np.repeat(np.arange(len(size)), size)
-        k = np.arange(len(word)) - self.base[word]
-        flat = data[np.maximum(s[word] + k - 1, 0)] if len(word) else np.zeros(0, np.uint8)
-        flat[k == 0] = MARK
-        self.size = size
-        self.ids = lattice.ids(flat, size[word] - k)
+
+    def look_up(self, lattice: Lattice) -> None:
+        word = np.repeat(np.arange(len(self.size)), self.size)
+        self.ids = lattice.ids(self.flat, self.base[word] + self.size[word] - np.arange(len(word)))
         self.longest = lattice.longest
 
+    def take(self, at: np.ndarray) -> Words:
+        size = self.size[at]
+        base = np.cumsum(size) - size
+        flat = self.flat[np.repeat(self.base[at] - base, size) + np.arange(int(size.sum()))]
+        return Words(self.key[at], flat, size, self.tag[at], self.count[at])
+
+    def lots(self, words: int = LOT) -> Iterator[tuple[int, int, Words]]:
+        for lo in range(0, len(self.size), words):
+            hi = min(lo + words, len(self.size))
+            yield lo, hi, self.take(np.arange(lo, hi))
+
+
+def block_words(data: np.ndarray, off: np.ndarray, tag: np.ndarray | None = None) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The distinct words of a block (of rows with one tag, if given), each token's word, and each row's first token plus the total."""
+    data = LOWER[data]
+    s, e, at = spans(data, off, INSIDE)
+    h = span_hash(data, s, e)
+    tags = np.zeros(len(s), np.int64) if tag is None else np.repeat(tag, np.diff(at))
+    h = mix(h + tags.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    s, size = s[first], (e - s)[first] + 1
+    base = np.cumsum(size) - size
+    at_byte = np.repeat(s - base - 1, size) + np.arange(int(size.sum()))
+    flat = data[np.maximum(at_byte, 0)] if len(at_byte) else np.zeros(0, np.uint8)
+    flat[base] = MARK
+    return Words(key, flat, size, tags[first], count.astype(float)), inverse.astype(np.int32), at
+
+
+def join_words(parts: list[Words]) -> Words:
+    """The words of several blocks, in order of key, counts summed."""
+    if len(parts) == 1:
+        return parts[0]
+    key = np.concatenate([p.key for p in parts])
+    both = Words(key, np.concatenate([p.flat for p in parts]), np.concatenate([p.size for p in parts]), np.concatenate([p.tag for p in parts]), np.concatenate([p.count for p in parts]))
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    out = both.take(first)
+    out.count = np.bincount(inverse, both.count)
+    return out
+
 
 def forward(w: Words, t: np.ndarray) -> np.ndarray:
     """Log-probability of each distinct word in each language; t: pieces + 1 by languages, the last row 0."""
@@ -165,6 +194,11 @@ def expected(w: Words, t: np.ndarray) -> np.ndarray:
     return total.reshape(langs, v + 1)[:, :v]
 
 
+def _looked(w: Words, lattice: Lattice) -> Words:
+    w.look_up(lattice)
+    return w
+
+
 _LATTICES: dict[int, Lattice] = {}
 
 
@@ -204,12 +238,25 @@ def fit(train: DataFrame, path: str, text_col: str = "text", lang_col: str = "la
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             vocab, index, t = held.value
             lattice, sums = _lattice(vocab), np.zeros((len(index), len(vocab)))
+            bag: list[Words] = []
+
+            def learn() -> None:
+                for _, _, w in join_words(bag).lots() if bag else ():
+                    w.look_up(lattice)
+                    sums[:] += expected(w, t)
+                bag.clear()
+
             for b in batches:
                 data, off = buffers(b.column(0))
                 lang = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
                 for i, j in pieces(off, BLOCK):
                     o = off[i : j + 1]
-                    sums += expected(Words(data[o[0] : o[-1]], o - o[0], lattice, lang[i:j]), t)
+                    bag.append(block_words(data[o[0] : o[-1]], o - o[0], lang[i:j])[0])
+                    if sum(len(w.size) for w in bag) > BAG:
+                        bag[:] = [join_words(bag)]
+                        if len(bag[0].size) > BAG // 2:
+                            learn()
+            learn()
             k, p = np.nonzero(sums > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(sums[k, p])], names=["lang", "piece", "n"])
 
@@ -235,39 +282,58 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
     n_out = len(out_fields)
 
+    def text_of(b: pa.RecordBatch) -> pa.Array:
+        text = b.column(b.num_columns - 1)
+        return text.field(at) if carry else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, langs, t = held.value
         lattice = _lattice(vocab)
-        for b in batches:
-            text = b.column(b.num_columns - 1)
-            text = text.field(at) if carry else text
-            data, off = buffers(text)
-            pred, score, bits = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
-            letters = np.zeros(len(text), bool)
-            for i, j in pieces(off, BLOCK):
-                o = off[i : j + 1]
-                d = data[o[0] : o[-1]]
-                if not len(d):
-                    continue
-                w = Words(d, o - o[0], lattice)
-                if not len(w.size):
+
+        def score(load: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks, found = [], []
+            for k, b in enumerate(load):
+                data, off = buffers(text_of(b))
+                for i, j in pieces(off, BLOCK):
+                    o = off[i : j + 1]
+                    d = data[o[0] : o[-1]]
+                    w, inverse, first = block_words(d, o - o[0])
+                    ascii_ = np.concatenate([[0], np.cumsum(INSIDE[d] & (d < 128))])
+                    letters = ascii_[o[1:] - o[0]] > ascii_[o[:-1] - o[0]]
+                    for r in np.flatnonzero(~letters & (np.diff(first) > 0)):
+                        letters[r] = any(c.isalpha() for c in text_of(b)[i + int(r)].as_py())
+                    blocks.append((k, i, j, w.key, inverse, first, letters))
+                    found.append(w)
+            words = join_words(found) if found else None
+            if words is not None:
+                log_p = np.concatenate([np.zeros((0, t.shape[1])), *(forward(_looked(w, lattice), t) for _, _, w in words.lots())])
+            got = [(np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)) for b in load]
+            for k, i, j, key, inverse, first, letters in blocks:
+                if not len(key):
                     continue
-                run_ = np.zeros((len(w.inverse) + 1, t.shape[1]))
-                np.cumsum(forward(w, t)[w.inverse], 0, out=run_[1:])
-                ll = run_[w.at[1:]] - run_[w.at[:-1]]
+                index = np.searchsorted(words.key, key)[inverse]
+                run_ = np.zeros((len(index) + 1, t.shape[1]))
+                np.cumsum(log_p[index], 0, out=run_[1:])
+                ll = run_[first[1:]] - run_[first[:-1]]
                 best = ll.argmax(1)
                 top = ll[np.arange(len(ll)), best]
-                pred[i:j], score[i:j] = best, 1.0 / np.exp(ll - top[:, None]).sum(1)
-                size = np.concatenate([[0], np.cumsum(w.size[w.inverse])])
-                bits[i:j] = -top / np.log(2) / np.maximum(1, size[w.at[1:]] - size[w.at[:-1]])
-                ascii_ = np.concatenate([[0], np.cumsum(INSIDE[d] & (d < 128))])
-                letters[i:j] = ascii_[o[1:] - o[0]] > ascii_[o[:-1] - o[0]]
-                for k in np.flatnonzero(~letters[i:j] & (np.diff(w.at) > 0)):
-                    letters[i + k] = any(c.isalpha() for c in text[i + int(k)].as_py())
-            known = letters & bool(langs)
-            names = [langs[p] if k else "und" for p, k in zip(pred, known, strict=True)]
-            out = [pa.array(names, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0)), pa.array(np.where(known, bits, 0.0))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n_out], *out], names=[*b.schema.names[:n_out], "lang_pred", "score", "bits"])
+                size = np.concatenate([[0], np.cumsum(words.size[index])])
+                pred, post, bits, known = got[k]
+                pred[i:j], post[i:j], known[i:j] = best, 1.0 / np.exp(ll - top[:, None]).sum(1), letters & bool(langs)
+                bits[i:j] = -top / np.log(2) / np.maximum(1, size[first[1:]] - size[first[:-1]])
+            for b, (pred, post, bits, known) in zip(load, got, strict=True):
+                names = [langs[p] if k else "und" for p, k in zip(pred, known, strict=True)]
+                out = [pa.array(names, pa.string()), pa.array(np.where(known, np.clip(post, 0, 1), 0.0)), pa.array(np.where(known, bits, 0.0))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n_out], *out], names=[*b.schema.names[:n_out], "lang_pred", "score", "bits"])
+
+        load, size = [], 0
+        for b in batches:
+            load.append(b)
+            size += text_of(b).nbytes
+            if size > LOAD:
+                yield from score(load)
+                load, size = [], 0
+        yield from score(load)
 
     return src.mapInArrow(run, f"{fields}, lang_pred string, score double, bits double")
 
