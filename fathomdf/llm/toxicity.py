@@ -78,7 +78,7 @@ def doc_prefixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """Bucketed counts of prefixes: shared, and by class, with each bucket's parent."""
+    """Bucketed counts of prefixes, shared and by class, with each bucket's parent, and what follows from them."""
 
     def __init__(self, parent: np.ndarray, shared: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
         self.parent, self.shared, self.counts = parent, shared, [ordinary, toxic]
@@ -86,13 +86,13 @@ class Model:
         used = used[used > 0]
         self.under, self.discounts, self.free = [], [], []
         for c in (shared, *self.counts):
-            self.under.append(np.bincount(parent[used], c[used], len(c)))
+            self.under.append(np.bincount(parent[used], c[used], len(c)).astype(np.float32))
         for c in self.counts:
             of = [float((c[used] == k).sum()) for k in (1, 2, 3, 4)]
             y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
             d = [0.0] + [min(k, max(0.2 * k, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.75 for k in (1, 2, 3)]
             self.discounts.append(np.array(d))
-            self.free.append(np.bincount(parent[used], self.discounts[-1][np.minimum(c[used], 3)], len(c)))
+            self.free.append(np.bincount(parent[used], self.discounts[-1][np.minimum(c[used], 3)], len(c)).astype(np.float32))
 
     def ratio(self, node: np.ndarray, own: tuple | None = None) -> np.ndarray:
         """Log-likelihood ratio of each node given its parent. own: (class, the document's counts at the nodes and at
@@ -116,7 +116,8 @@ class Model:
 
     def table(self) -> np.ndarray:
         """The ratio of every bucket."""
-        return self.ratio(np.arange(len(self.shared))).astype(np.float32)
+        n = len(self.shared)
+        return np.concatenate([self.ratio(np.arange(lo, min(lo + (1 << 18), n))).astype(np.float32) for lo in range(0, n, 1 << 18)])
 
 
 def own_ratio(data: np.ndarray, off: np.ndarray, model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +179,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for i, j in pieces(off, BLOCK):
                 o = off[i : j + 1]
                 row, node, up, _ = doc_prefixes(data[o[0] : o[-1]], o - o[0])
-                sums[0] += np.bincount(node, minlength=BUCKETS).astype(np.int32)
+                np.add.at(sums[0], node, 1)
                 parent[node] = np.maximum(parent[node], up)
                 of = y[i:j][row]
                 for k in (0, 1):
                     at = np.flatnonzero(of == k)
                     if len(at):
-                        sums[1 + k] += np.bincount(node[at], minlength=BUCKETS).astype(np.int32)
+                        np.add.at(sums[1 + k], node[at], 1)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(parent[at]), *[pa.array(s[at]) for s in sums]], names=["bucket", "parent", "shared", "ordinary", "toxic"])
 
@@ -202,12 +203,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = Model(*tables)
     ratios = sc.broadcast(model.table())
     if able:
-        full = sc.broadcast(tables)
+        full = sc.broadcast(model)
 
         def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = None
+            m = full.value
             for b in batches:
-                m = m or Model(*full.value)
                 data, off = buffers(b.column(1))
                 x, words = own_ratio(data, off, m, b.column(0).to_numpy())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(normal(x, words))], names=["y", "x"])
