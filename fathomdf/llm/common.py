@@ -142,6 +142,17 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(mix(h + np.uint64(min(k, n))))
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system, so that it doesn't stay with idle workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) with component the least node reached; nodes are bigint.
 

@@ -38,11 +38,14 @@ from pyspark.sql import functions as F
 
 from fathomdf.session import ship
 
-from .common import buffers, mix, pieces, span_hash
+from .common import buffers, mix, pieces, span_hash, trim
+from .pairs import small
 
 WIDTH, GRAM = 100, 16
 LAST = (1 << 63) - 1
-BLOCK, FLUSH, LOT = 1 << 20, 10 << 20, 60_000
+BLOCK, FLUSH, LOT = 1 << 19, 10 << 20, 60_000
+#: Rows that are returned at once.
+ROWS = 500
 #: Documents sampled for frequent grams, and the share of them from which a gram is frequent.
 SAMPLE, FREQUENT = 20_000, 0.001
 
@@ -53,12 +56,22 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     a = np.ndarray((n + 8,), np.uint64, np.ascontiguousarray(data), strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint64)
     if n <= 0:
         return np.zeros(0, np.uint32)
-    h = a[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (a[8:] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7))
+    return _hash(a[:n], a[8:])
+
+
+def _hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    h = low * np.uint64(0x9E3779B97F4A7C15) ^ (high * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7))
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x81DADEF4BC2DD44D)
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same hashes at some positions only."""
+    two = data[at[:, None] + np.arange(GRAM)].view(np.uint64)
+    return _hash(two[:, 0], two[:, 1])
+
+
 def is_frequent(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Positions of hashes in a sorted array."""
     if not len(frequent):
@@ -130,7 +143,28 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - base, size) + np.arange(int(size.sum()))]
 
 
-META = np.dtype([("fp", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("lean", "u1"), ("windows", "u1")])
+META = (("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("lean", "u1"), ("windows", "u1"))
+
+
+def pack_meta(meta: dict[str, np.ndarray]) -> bytes:
+    """Columns one after another, documents and keys as differences, the bytes of like weight together: so they compress."""
+    out = []
+    for name, kind in META:
+        v = meta[name].astype(kind)
+        v = np.diff(v, prepend=v.dtype.type(0)) if name in ("doc", "key") else v
+        out.append(v.view(np.uint8).reshape(len(v), -1).T.tobytes())
+    return b"".join(out)
+
+
+def unpack_meta(raw: bytes, n: int) -> tuple[dict[str, np.ndarray], int]:
+    """The columns, and the bytes they took."""
+    out, at = {}, 0
+    for name, kind in META:
+        size = np.dtype(kind).itemsize
+        v = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+        out[name] = np.cumsum(v) if name in ("doc", "key") else v
+        at += n * size
+    return out, at
 
 
 def merge_runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -218,18 +252,20 @@ def solve_bucket(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     for b in blobs:
         raw = unpack.decompress(b)
         n = int.from_bytes(raw[:4], "little")
-        metas.append(np.frombuffer(raw, META, n, 4))
-        datas.append(np.frombuffer(raw, np.uint8, -1, 4 + n * META.itemsize))
-    meta, data = np.concatenate(metas), np.concatenate(datas)
+        meta, size = unpack_meta(raw[4:], n)
+        metas.append(meta)
+        datas.append(np.frombuffer(raw, np.uint8, -1, 4 + size))
+    meta, data = {k: np.concatenate([m[k] for m in metas]) for k, _ in META}, np.concatenate(datas)
     del metas, datas
     size = meta["windows"].astype(np.int64) + WIDTH - 1
     base = np.cumsum(size) - size
+    meta["fp"] = grams_at(data, base + meta["lean"])
     _, inv, count = np.unique(meta["fp"], return_inverse=True, return_counts=True)
     at = np.flatnonzero(count[inv] > 1)
-    meta, base, size = meta[at], base[at], size[at]
+    meta, base, size = {k: v[at] for k, v in meta.items()}, base[at], size[at]
     doc, key, start = meta["doc"], meta["key"], meta["start"].astype(np.int64)
     spans = [tuple(np.zeros(0, np.int64) for _ in range(4))]
-    if len(meta):
+    if len(base):
         flat = gather(data, base, size)
         data, base = flat, np.cumsum(size) - size
         name = mix(span_hash(data, base, base + size) + meta["fp"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + meta["lean"].astype(np.uint64))
@@ -280,7 +316,7 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, "text"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        held: dict[int, list[tuple[dict, bytes]]] = {}
         sure: list[tuple[np.ndarray, ...]] = []
         size = 0
         pack = zstandard.ZstdCompressor(level=3)
@@ -288,9 +324,9 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             ks, blobs = [], []
             for k, parts in held.items():
-                ms = b"".join(m for m, _ in parts)
+                meta = {c: np.concatenate([m[c] for m, _ in parts]) for c, _ in META}
                 ks.append(k)
-                blobs.append(pack.compress((len(ms) // META.itemsize).to_bytes(4, "little") + ms + b"".join(d for _, d in parts)))
+                blobs.append(pack.compress(len(meta["doc"]).to_bytes(4, "little") + pack_meta(meta) + b"".join(d for _, d in parts)))
             held.clear()
             if sure:
                 spans = np.stack(merge_runs(*(np.concatenate(c) for c in zip(*sure, strict=True))), 1)
@@ -316,18 +352,17 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
                     bucket = s.fp[rep].astype(np.int64) % buckets
                     order = np.argsort(bucket, kind="stable")
                     rep, bucket = rep[order], bucket[order]
-                    meta = np.empty(len(rep), META)
-                    for f, v in (("fp", s.fp), ("doc", doc), ("key", key), ("start", start), ("lean", s.lean), ("windows", s.windows)):
-                        meta[f] = v[rep]
+                    meta = {c: v[rep] for c, v in (("doc", doc), ("key", key), ("start", start), ("lean", s.lean), ("windows", s.windows))}
                     text = gather(d, s.start[rep], length[rep]).tobytes()
                     ends = np.concatenate([[0], np.cumsum(length[rep])])
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                     for x, y in zip(cuts, [*cuts[1:], len(rep)], strict=True):
-                        held.setdefault(int(bucket[x]), []).append((meta[x:y].tobytes(), text[ends[x] : ends[y]]))
+                        held.setdefault(int(bucket[x]), []).append(({c: v[x:y].copy() for c, v in meta.items()}, text[ends[x] : ends[y]]))
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
+        trim()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(doc, key, start, stop) -> pa.RecordBatch:
@@ -335,7 +370,8 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
 
         last, blobs = None, []
         for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                k, blob = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 if k < 0:
                     yield rows(*np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8").reshape(-1, 4).T)
                     continue
@@ -346,9 +382,10 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
                 blobs.append(blob)
         if blobs:
             yield rows(*solve_bucket(blobs))
+        trim()
 
     packed = docs.select("did", "text_key", "text").mapInArrow(cut_up, "bucket bigint, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "did bigint, text_key bigint, start bigint, stop bigint")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "did bigint, text_key bigint, start bigint, stop bigint")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), buckets: int | None = None, as_text: bool = False) -> DataFrame:
@@ -358,19 +395,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     n = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != id_col], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text_bytes"))
-    spans = repeated_spans(src.select("did", "text_key", F.col("text_bytes").alias("text")), n)
+    did = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    again = small(docs.select(did.alias("did")).groupBy("did").count().where("count > 1").select(F.col("did").alias("again")), 16)  # ids of several rows: these are told apart by a hash of the text
+    src = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != id_col], did.alias("did"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    src = src.join(again, F.col("did") == F.col("again"), "left").withColumn("text_key", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))).drop("again")
+    spans = repeated_spans(src.select("did", "text_key", "text"), n)
     spans = spans.groupBy("did", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("found")).select(F.col("did").alias("d"), F.col("text_key").alias("k"), F.col("found.start").alias("starts"), F.col("found.stop").alias("stops"))
-    both = src.join(spans, (F.col("did") == F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("did", "text_key", "d", "k")
+    src = src.select(*[c for c in src.columns if c != "text"], "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                x = b.slice(lo, ROWS)
+                yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array([pack.compress(t) for t in x.column(x.num_columns - 1).to_pylist()], pa.binary())], names=x.schema.names)
+
+    src = src.mapInArrow(squeeze, schema)
+    both = src.join(spans, (F.col("did") == F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(*[c for c in src.columns if c not in ("did", "text_key", "text")], "text", "starts", "stops")
     fields = both.schema.fields[:-3]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        unpack = zstandard.ZstdDecompressor()
+        for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
             texts, starts, stops = b.column(len(fields)), b.column(len(fields) + 1), b.column(len(fields) + 2)
             size, spans, kept = [], [], []
             for i in range(b.num_rows):
-                raw = texts[i].as_py()
+                raw = unpack.decompress(texts[i].as_py())
                 size.append(len(raw))
                 s = starts[i].as_py()
                 if not s:
