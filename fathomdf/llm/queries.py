@@ -96,4 +96,57 @@ ORACLE: dict[str, str] = {
         k AS (SELECT d.*, source_size, target, u, coalesce(target / nullif(source_size, 0), 0) AS rate, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) AS n
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, ((floor(u + rate * n) - floor(u + rate * (n - 1))) * size)::BIGINT AS taken FROM k""",
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        w AS (SELECT rid, o, i, md5(substring(h, 2 * i + 1, 200)) AS k FROM d, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS r(i)),
+        f AS (SELECT k, min((o, i)) AS first FROM w GROUP BY k),
+        c AS (SELECT rid, i, i + 100 AS e FROM w JOIN f USING (k) WHERE first < (o, i)),
+        g AS (SELECT rid, i, e, CASE WHEN i <= max(e) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM c),
+        s AS (SELECT rid, min(i) AS i, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM g) GROUP BY rid, run),
+        t AS (SELECT rid, count(*) AS n_spans, sum(e - i) AS n_removed, list_sort(list(i)) AS starts, list_sort(list(e)) AS stops FROM s GROUP BY rid)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda j:
+                 substring(h, 2 * (CASE WHEN j = 1 THEN 0 ELSE stops[j - 1] END) + 1, 2 * ((CASE WHEN j = n_spans + 1 THEN len(h) // 2 ELSE starts[j] END) - (CASE WHEN j = 1 THEN 0 ELSE stops[j - 1] END)))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN t USING (rid)""",
+    "op3_lattice_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE CASE WHEN len(a.e) = len(b.e) THEN list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) END >= 0.93),
+        r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g FROM d WHERE len(ws) > 0),
+        z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE i * 10 >= 8 * (x.n + y.n - i)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, component, d.doc_id = component AS kept
+        FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN k ON k.a = d.doc_id""",
+    "op10_url_filter": r"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        m AS (SELECT host, path, arg_max(h || rules.p, len(h || rules.p)) AS rule, arg_max(verdict, len(h || rules.p)) AS said
+              FROM (SELECT DISTINCT host, path FROM p) q, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY host, path),
+        y AS (SELECT doc_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+        h AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(host, '.') AS q FROM p LEFT JOIN y ON doc_id = page_id GROUP BY host),
+        h1 AS (SELECT *, CASE WHEN len(q) <= 2 OR regexp_matches(host, '^[0-9.:\[\]]+$') THEN host WHEN q[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND len(q[-1]) = 2 THEN array_to_string(q[-3:], '.') ELSE array_to_string(q[-2:], '.') END AS domain FROM h),
+        h2 AS (SELECT host, n, bad, domain, CASE WHEN contains(domain, '.') THEN regexp_extract(domain, '^[^.]*\.(.*)$', 1) ELSE domain END AS suffix FROM h1),
+        d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+        lv AS (SELECT 's' AS lv, n, bad FROM s WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM d WHERE n > 0 UNION ALL SELECT 'h', n, bad FROM h2 WHERE n > 0),
+        t AS (SELECT lv, sum(n) AS N1, sum(bad) / sum(n) AS mean, sum(n * n) AS N2, sum(bad * bad / n) AS Q, count(*) AS C FROM lv GROUP BY lv),
+        b AS (SELECT lv, mean * (1 - mean) AS v, (Q - N1 * mean * mean - (C - 1) * mean * (1 - mean)) / nullif(N1 - N2 / N1, 0) AS btw FROM t),
+        k AS (SELECT lv, coalesce(CASE WHEN btw > 0 THEN greatest(1.0, least(1000.0, v / btw - 1)) ELSE 1000.0 END, 1000.0) AS k FROM b),
+        o AS (SELECT coalesce((SELECT k FROM k WHERE lv = 's'), 1000.0) AS k_s, coalesce((SELECT k FROM k WHERE lv = 'd'), 1000.0) AS k_d, coalesce((SELECT k FROM k WHERE lv = 'h'), 1000.0) AS k_h,
+                     (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s) AS g),
+        s2 AS (SELECT suffix, (bad + k_s * g) / (n + k_s) AS r FROM s, o), d2 AS (SELECT domain, (bad + k_d * r) / (n + k_d) AS r FROM d JOIN s2 USING (suffix), o),
+        ab AS (SELECT host, bad + k_h * r AS a, n - bad + k_h * (1 - r) AS b FROM h2 JOIN d2 USING (domain), o),
+        post AS (SELECT host, a / (a + b) AS rate, sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM ab)
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rate - 1.645 * sd > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS bad_rate, round(rate - 1.645 * sd, 6) AS bad_low
+        FROM p JOIN post USING (host) LEFT JOIN m USING (host, path)""",
 }
