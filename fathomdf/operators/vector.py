@@ -1,7 +1,7 @@
 """Vector search: metrics as columns, exact and filtered k-NN, batches, inverted lists, quantisation, recall.
 
-A query vector is a literal, so scoring is one code-generated expression over the scan and a top-k keeps k rows per task.
-Batches join the queries in blocks of stated size. Vectors are compared in double precision.
+A query vector is a literal, so scoring is one expression over the scan, in generated code for vectors of up to UNROLL
+dimensions, and a top-k keeps k rows per task. Batches take the queries in blocks of stated size. Vectors are compared in double precision.
 """
 
 from __future__ import annotations
@@ -28,9 +28,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_literal(a: Column, q: Sequence[float]) -> Column:
-    """Inner product with a constant, unrolled so that it stays inside generated code."""
-    return reduce(lambda s, x: s + x, [F.get(a, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(q)], F.lit(0.0))
+#: Query dimensions up to which scoring is unrolled into one arithmetic expression.
+UNROLL = 256
+
+
+def unrolled(a: Column, q: Sequence[float], metric: str) -> Column | None:
+    """The metric against a constant as plain arithmetic over the vector's elements, which stays inside generated code
+    (a lambda over the array would be interpreted per element). None where there is no such form."""
+    x = [F.get(a, F.lit(i)) for i in range(len(q))]
+    add = lambda cs: reduce(lambda s, c: s + c, cs, F.lit(0.0))
+    same = F.size(a) == len(q)
+    if metric == "dot":
+        return F.when(same, add([c * F.lit(float(v)) for c, v in zip(x, q, strict=True)]))
+    if metric in ("l2", "l2_squared"):
+        d = [c - F.lit(float(v)) for c, v in zip(x, q, strict=True)]
+        total = F.when(same, add([c * c for c in d]))
+        return F.sqrt(total) if metric == "l2" else total
+    if metric == "l1":
+        return F.when(same, add([F.abs(c - F.lit(float(v))) for c, v in zip(x, q, strict=True)]))
+    if metric in ("cosine", "cosine_distance"):
+        d = F.sqrt(add([c * c for c in x]) * F.lit(sum(float(v) * float(v) for v in q)))
+        cos = F.when(same, F.when(d == 0, 0.0).otherwise(add([c * F.lit(float(v)) for c, v in zip(x, q, strict=True)]) / F.nullif(d, F.lit(0.0))))
+        return cos if metric == "cosine" else 1 - cos
+    return None
 
 
 def norm(a: Column) -> Column:
@@ -65,8 +85,11 @@ METRICS = {"cosine": (cosine, True), "dot": (dot, True), "l2": (l2, False), "l2_
 
 
 def score(df: DataFrame, query: Sequence[float], metric: str = "cosine", vector: str = "embedding") -> DataFrame:
+    """With the column score; a vector of another length has none."""
     fn, _ = METRICS[metric]
-    return df.withColumn("score", fn(doubles(F.col(vector)), literal(query)))
+    v = doubles(F.col(vector))
+    flat = unrolled(v, query, metric) if 0 < len(query) <= UNROLL else None
+    return df.withColumn("score", fn(v, literal(query)) if flat is None else flat)
 
 
 def knn(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None, min_score: float | None = None, digits: int = 6) -> DataFrame:
