@@ -33,6 +33,10 @@ def _times(ws: str, term: str) -> Column:
     return F.size(F.filter(ws, lambda x: x == term))
 
 
+def _both(word: str):
+    return lambda so_far, x: F.coalesce(so_far & (x == word), F.lit(False))
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True) -> DataFrame:
     """(term, id, tf): the postings."""
     return docs.select(id_col, F.explode(tokens(F.col(text_col), lower)).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
@@ -68,7 +72,12 @@ def phrase(docs: DataFrame, query: str, k: int | None = 20, id_col: str = "doc_i
     words = query_tokens(query, lower)
     n = len(words)
     base = docs.select(id_col, tokens(F.col(text_col), lower).alias("ws")).withColumn("dl", F.size("ws"))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.col("dl") - n + 1, F.lit(1))), lambda i: (i + n - 1 <= F.col("dl")) & (F.slice("ws", i, n) == F.array(*[F.lit(w) for w in words])))
+    # one flag per word: does the phrase begin here; built word by word, since a lambda that looks into the whole array
+    # would split the text again at every position
+    at = F.transform("ws", lambda x: x == words[0])
+    for j, w in enumerate(words[1:], 2):
+        at = F.zip_with(at, F.slice("ws", j, F.greatest(F.size("ws"), F.lit(1))), _both(w))
+    at = F.filter(at, lambda x: x)
     has = [F.array_contains("ws", w) for w in words]
     every = has[0]
     for h in has[1:]:
