@@ -53,7 +53,7 @@ def _pieces(text: str) -> list[str]:
             depth += 1
         elif c in ")}":
             depth -= 1
-        elif c == "," and depth == 0 and re.match(r",\s*\w+\s+(PRIORITY\s+-?\d+\s*)?:", text[i:], re.I):
+        elif c == "," and depth == 0 and re.match(r",\s*\w+\s*(\s+PRIORITY\s+-?\d+\s*)?:", text[i:], re.I):
             out.append(text[start:i])
             start = i + 1
     return [p.strip() for p in [*out, text[start:]] if p.strip()]
@@ -67,7 +67,7 @@ def parse(sql: str) -> Query:
     for k, v in re.findall(r"(\w+)\s*=\s*('[^']*'|[\w.]+)", m[4] or ""):
         q.options[k.lower()] = v[1:-1] if v[0] == "'" else {"true": True, "false": False}.get(v.lower(), int(v) if re.fullmatch(r"\d+", v) else v)
     for p in _pieces(m[5]):
-        s = re.fullmatch(r"(\w+)\s+(?:PRIORITY\s+(-?\d+)\s*)?:\s*(.*)", p, re.I | re.S)
+        s = re.fullmatch(r"(\w+)\s*(?:\s+PRIORITY\s+(-?\d+)\s*)?:\s*(.*)", p, re.I | re.S)
         if not s:
             raise ValueError(f"not a section: {p[:60]}")
         body = s[3].strip()
