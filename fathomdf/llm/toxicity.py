@@ -9,11 +9,17 @@ modified Kneser-Ney discount for a count of one, two or more (fitted from the co
 that the discounts free at the prefix. The shared lower order is made of the same counts over the whole corpus, labelled or
 not, and counts documents rather than occurrences. So a rare expression is judged by the longest beginning that is known, and past
 it by the shared counts, alike in both classes. A text's log-likelihood ratio, normalised by its length, is turned into
-a probability by a logistic curve fitted on training documents whose own counts were taken out first.
+a probability by a logistic curve.
 
-Prefixes are hashed to BUCKETS buckets, so counts have a fixed size whatever the corpus; they are summed per task, then
-over tasks, and what scoring needs is one number a bucket. Scoring is a map. Labels are broadcast behind a check of their
-size, else joined by id.
+Words are spelled to their end, with an end mark, and nothing is cut or hashed to a fixed range: the table of distinct words with
+their counts grows with the corpus. It is shuffled by the first HEAD bytes, so that all longer prefixes and what follows
+from them stay within a task; the shorter ones (a row for each beginning of HEAD bytes) are summed and sent to all. Each word
+gets the sum of its steps, and documents get theirs from a table of the words, broadcast in parts of TABLE_BYTES: a map over
+all texts per part, and the parts' sums added by row. Labels are broadcast behind a check of their size, else joined by id.
+
+Each step counts in full and, next to that, by its counts: with r its ratio and v = 1 / (toxic + 1/2) + 1 / (ordinary + 1/2)
+about the variance of r, also as r * z / (z + hold), z = r * r / v, for each hold of HOLDS. The logistic curve weighs these
+sums; it is fitted on training documents scored without the FOLDS-th of the training documents they are in.
 
 Parameters that bound samples: CALIBRATE training rows of each class, by a hash of the id, for the logistic curve. Counts
 cover all rows.
@@ -29,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,124 +45,165 @@ from .common import WORD_TABLE, buffers, cut, mix, pieces, powers, span_hash, sp
 from .language_id import remainder
 from .pairs import small
 
-BITS = 21
-BUCKETS = 1 << BITS
-DEPTH = 8
+#: Bytes of the beginnings that words are dealt by.
+HEAD = 3
 BLOCK = 1 << 20
+#: Distinct words kept before they are handed on; words spelled at once, or more if they share a beginning.
+BAG, LOT = 400_000, 100_000
+#: Size of the part of the words' sums that is broadcast at once; a larger table is scored by part, and the parts' sums added.
+TABLE_BYTES = 48 << 20
 CALIBRATE = 20_000
-#: A step of a word counts if its ratio is of this size, in nats, and LEAST training words took it: thousands of steps that
-#: differ by chance would else drown a few that differ for a reason.
-EVIDENCE, LEAST = 1.5, 6
+FOLDS = 3
+HOLDS = (0, 10, 100)
+COUNTS = ["shared", *(f"ordinary{j}" for j in range(FOLDS)), *(f"toxic{j}" for j in range(FOLDS))]
+SUMS = [f"e{m}_{i}" for m in range(FOLDS + 1) for i in range(len(HOLDS))]
 
 
-def doc_prefixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, node, parent) for every prefix of up to DEPTH bytes of the distinct words of each row, and words per row."""
+def doc_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end) of the distinct words of each row, in order of row, and the lower-cased bytes."""
     inside, lower = WORD_TABLE
     norm = lower[data]
     s, e, at = spans(data, off, inside)
-    n = len(off) - 1
-    row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
-    _, first = np.unique((row << np.uint64(40)) | (span_hash(norm, s, e) >> np.uint64(24)), return_index=True)
-    s, size, row = s[first], (e - s)[first], row[first].astype(np.int64)
-    words = np.bincount(row, minlength=n).astype(float)
-    up, down = powers(len(norm) + 1)
-    p = np.zeros(len(norm) + 1, np.uint64)
-    np.cumsum((norm.astype(np.uint64) + np.uint64(1)) * up[: len(norm)], out=p[1:])
-    rows, nodes, parents = [], [], []
-    last = np.zeros(len(s), np.int64)  # bucket 0 is the root
-    for k in range(1, DEPTH + 1):
-        go = np.flatnonzero(size >= k)
-        if not len(go):
-            break
-        s, size, row, last = s[go], size[go], row[go], last[go]
-        node = 1 + (mix((p[s + k] - p[s]) * down[s] + np.uint64(k)) % np.uint64(BUCKETS - 1)).astype(np.int64)
-        rows.append(row)
-        nodes.append(node)
-        parents.append(last)
-        last = node
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(nodes), np.concatenate(parents), words) if rows else (z, z, z, words)
-
-
-class Model:
-    """Bucketed counts of prefixes, shared and by class, with each bucket's parent, and what follows from them."""
-
-    def __init__(self, parent: np.ndarray, shared: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        self.parent, self.shared, self.counts = parent, shared, [ordinary, toxic]
-        used = np.flatnonzero(shared > 0)
-        used = used[used > 0]
-        self.under, self.discounts, self.free = [], [], []
-        for c in (shared, *self.counts):
-            self.under.append(np.bincount(parent[used], c[used], len(c)).astype(np.float32))
-        for c in self.counts:
-            of = [float((c[used] == k).sum()) for k in (1, 2, 3, 4)]
-            y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-            d = [0.0] + [min(k, max(0.2 * k, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.75 for k in (1, 2, 3)]
-            self.discounts.append(np.array(d))
-            self.free.append(np.bincount(parent[used], self.discounts[-1][np.minimum(c[used], 3)], len(c)).astype(np.float32))
-
-    def ratio(self, node: np.ndarray, own: tuple | None = None) -> np.ndarray:
-        """Log-likelihood ratio of each node given its parent. own: (class, the document's counts at the nodes and at
-        their parents), taken out."""
-        up = self.parent[node]
-        shared = np.maximum(self.shared[node], 1) / np.maximum(self.under[0][up], 1)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    h = span_hash(norm, s, e)
+    _, first = np.unique(mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    first.sort()
+    return row[first], h[first], s[first], e[first], norm
+
+
+def gather(flat: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The byte ranges in a row."""
+    to = np.cumsum(size) - size
+    return flat[np.repeat(base - to, size) + np.arange(int(size.sum()))]
+
+
+class Bag:
+    """Distinct words with their bytes and counts."""
+
+    def __init__(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, counts: np.ndarray):
+        self.key, self.flat, self.size, self.counts = key, flat, size, counts
+
+    @staticmethod
+    def joined(bags: list[Bag]) -> Bag:
+        key, flat, size, counts = (np.concatenate([getattr(b, x) for b in bags]) for x in ("key", "flat", "size", "counts"))
+        key, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        sums = np.stack([np.bincount(inv, c, len(key)).astype(np.int64) for c in counts.T], 1)
+        return Bag(key, gather(flat, (np.cumsum(size) - size)[first], size[first]), size[first], sums)
+
+    def batch(self) -> pa.RecordBatch:
+        to = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        small_ = np.minimum(self.size, HEAD)
+        heads = np.concatenate([[0], np.cumsum(small_)]).astype(np.int64)
+        binary = lambda o, d: pa.Array.from_buffers(pa.large_binary(), len(o) - 1, [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(d))]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([binary(heads, gather(self.flat, to[:-1], small_)), binary(to, self.flat), *[pa.array(np.ascontiguousarray(c)) for c in self.counts.T]], names=["head", "word", *COUNTS])
+
+
+class Trie:
+    """Every prefix of some words, their ends marked, with its depth, its parent's index (-1: the root) and counts."""
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray, counts: np.ndarray):
+        base, size = off[:-1], np.diff(off)
+        n = len(flat)
+        up, down = powers(n + 1)
+        p = np.zeros(n + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[:n], out=p[1:])
+        steps = size + 1
+        self.word = np.repeat(np.arange(len(size)), steps)
+        start = np.cumsum(steps) - steps
+        k = np.arange(len(self.word)) - start[self.word] + 1
+        end = k > size[self.word]
+        to = base[self.word] + np.minimum(k, size[self.word])
+        h = mix((p[to] - p[base[self.word]]) * down[base[self.word]] + k.astype(np.uint64))
+        h[end] = mix(~h[end])
+        self.hash = span_hash(flat, base, base + size)
+        self.node, first, self.at = np.unique(h, return_index=True, return_inverse=True)
+        self.depth = k[first]
+        self.up = np.where(self.depth > 1, self.at[first - 1], -1)
+        self.counts = np.stack([np.bincount(self.at, c[self.word], len(self.node)) for c in counts.T], 1)
+
+
+def by_model(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ordinary, toxic) counts without each fold, and last with all."""
+    parts = counts[:, 1 : 1 + FOLDS], counts[:, 1 + FOLDS :]
+    return [tuple(x.sum(1) - (x[:, m] if m < FOLDS else 0) for x in parts) for m in range(FOLDS + 1)]
+
+
+def once_to_four(counts: np.ndarray) -> np.ndarray:
+    """How many prefixes have a count of 1, 2, 3 and 4, by model and class."""
+    return np.array([[[(c == k).sum() for k in (1, 2, 3, 4)] for c in m] for m in by_model(counts)], np.int64)
+
+
+def discounts(of: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and more."""
+    y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
+    return np.array([0.0] + [min(k, max(0.2 * k, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.75 for k in (1, 2, 3)])
+
+
+def evidence(counts: np.ndarray, up: np.ndarray, which: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The SUMS of the steps to the prefixes `which`, all other prefixes 0; all children of their parents must be among them."""
+    n = len(counts)
+    out = np.zeros((n, len(SUMS)))
+    of = up[which]
+    under = np.bincount(of, counts[which, 0], n)[of]
+    shared = counts[which, 0] / np.maximum(under, 1)
+    for m, classes in enumerate(by_model(counts[which])):
         logs = []
-        for k in (0, 1):
-            c, under = self.counts[k][node].astype(np.int64), self.under[1 + k][up]
-            free = self.free[k][up]
-            if own is not None and own[0] == k:
-                before = self.discounts[k][np.minimum(c, 3)]
-                c, under = np.maximum(c - own[1], 0), np.maximum(under - own[2], 0)
-                free = np.clip(free - before + self.discounts[k][np.minimum(c, 3)], 0, under)
-            top = np.maximum(c - self.discounts[k][np.minimum(c, 3)], 0)
-            p = np.where(under > 0, (top + free * shared) / np.maximum(under, 1), shared)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        out = logs[1] - logs[0]
-        seen = self.counts[0][node].astype(np.int64) + self.counts[1][node] - (own[1] if own is not None else 0)
-        return np.where((self.shared[node] > 0) & (np.abs(out) >= EVIDENCE) & (seen >= LEAST), out, 0.0)
-
-    def table(self) -> np.ndarray:
-        """The ratio of every bucket."""
-        n = len(self.shared)
-        return np.concatenate([self.ratio(np.arange(lo, min(lo + (1 << 18), n))).astype(np.float32) for lo in range(0, n, 1 << 18)])
-
-
-def own_ratio(data: np.ndarray, off: np.ndarray, model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed ratio of each row without its own counts in its class y, and its words."""
-    row, node, parent, words = doc_prefixes(data, off)
-    n = len(off) - 1
-    out = np.zeros(n)
-    order = np.argsort(row, kind="stable")
-    row, node, parent = row[order], node[order], parent[order]
-    at = np.searchsorted(row, np.arange(n + 1))
-    for i in range(n):
-        x, up = node[at[i] : at[i + 1]], parent[at[i] : at[i + 1]]
-        if len(x):
-            distinct, inv, count = np.unique(x, return_inverse=True, return_counts=True)
-            _, back, under = np.unique(up, return_inverse=True, return_counts=True)
-            first = np.unique(inv, return_index=True)[1]
-            r = model.ratio(distinct, (int(y[i]), count, under[back][first]))
-            out[i] = float((r * count).sum())
-    return out, words
-
-
-def normal(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The length-normalised ratio: per square root of length, so that its noise is alike in short and long texts."""
-    return total / np.sqrt(np.maximum(words, 1))
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and intercept by Newton steps, slightly held towards 0."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    w = np.zeros(2)
+        for c, dk in zip(classes, d[m], strict=True):
+            took = dk[np.minimum(c, 3).astype(np.int64)]
+            total, free = np.bincount(of, c, n)[of], np.bincount(of, took, n)[of]
+            logs.append(np.log(np.maximum(np.where(total > 0, (np.maximum(c - took, 0) + free * shared) / np.maximum(total, 1), shared), 1e-12)))
+        r = logs[1] - logs[0]
+        z = r * r / (1 / (classes[0] + 0.5) + 1 / (classes[1] + 0.5))
+        for i, hold in enumerate(HOLDS):
+            out[which, m * len(HOLDS) + i] = r * z / (z + hold) if hold else r
+    return out
+
+
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and counts of words that come in order of head: whole heads, LOT words or more."""
+    held: list[pa.RecordBatch] = []
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return *buffers(t["word"]), np.stack([t[c].to_numpy() for c in COUNTS], 1)
+
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= LOT:
+            t = pa.Table.from_batches(held)
+            last = t["head"][-1].as_py()
+            to = pa.compute.index(t["head"], last).as_py()
+            if to:
+                yield arrays(t.slice(0, to))
+            held = t.slice(to).combine_chunks().to_batches()
+            size = sum(x.num_rows for x in held) if to else 0
+    if held:
+        t = pa.Table.from_batches(held)
+        if t.num_rows:
+            yield arrays(t)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by damped Newton steps, slightly held towards 0."""
+    scale = np.maximum(x.std(0), 1e-9)
+    a = np.concatenate([x / scale, np.ones((len(x), 1))], 1)
+    w = np.zeros(a.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ w)).sum() + 5e-3 * (w @ w))
+
+    now = loss(w)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - 1e-3 * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), g)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w)), a.T @ (y - p) - 1e-2 * w)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return w
+        w = w + step
+        now = loss(w)
+    return w[:-1] / scale, float(w[-1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", held_out: int = 5) -> DataFrame:
@@ -168,69 +216,120 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = cut(known.join(small(y, 24), F.col("doc_id") == F.col("of")).groupBy("h", "y").agg(F.min("doc_id").alias("of")).select("of", "y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     lot = F.pmod(F.xxhash64("of", F.lit(5)), F.lit(1 << 20)) < F.when(F.col("y") == 1, int(min(1, CALIBRATE / max(1, n.get(1, 1))) * (1 << 20))).otherwise(int(min(1, CALIBRATE / max(1, n.get(0, 1))) * (1 << 20)))
-    known = small(known.withColumn("cal", lot), 25)
-    both = src.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "held_out", F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("cal", F.lit(False)).alias("cal"), "text")
+    known = small(known.withColumn("cal", lot).withColumn("fold", F.pmod(F.xxhash64("of", F.lit(11)), F.lit(FOLDS)).cast("int")), 29)
+    both = src.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "held_out", F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("cal", F.lit(False)).alias("cal"), F.coalesce("fold", F.lit(0)).alias("fold"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, parent = np.zeros((3, BUCKETS), np.int32), np.zeros(BUCKETS, np.int32)
+        bags: list[Bag] = []
         for b in batches:
-            data, off = buffers(b.column(1))
-            y = b.column(0).to_numpy()
+            data, off = buffers(b.column(2))
+            y, fold = b.column(0).to_numpy(), b.column(1).to_numpy()
+            column = np.where(y < 0, 0, 1 + FOLDS * np.maximum(y, 0) + fold)
             for i, j in pieces(off, BLOCK):
                 o = off[i : j + 1]
-                row, node, up, _ = doc_prefixes(data[o[0] : o[-1]], o - o[0])
-                np.add.at(sums[0], node, 1)
-                parent[node] = np.maximum(parent[node], up)
-                of = y[i:j][row]
-                for k in (0, 1):
-                    at = np.flatnonzero(of == k)
-                    if len(at):
-                        np.add.at(sums[1 + k], node[at], 1)
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(parent[at]), *[pa.array(s[at]) for s in sums]], names=["bucket", "parent", "shared", "ordinary", "toxic"])
-
-    sums = both.select("y", "text").mapInArrow(count, "bucket int, parent int, shared int, ordinary int, toxic int")
-    sums = sums.groupBy("bucket").agg(F.max("parent").alias("parent"), *[F.sum(c).alias(c) for c in ("shared", "ordinary", "toxic")]).toArrow()  # at most BUCKETS rows
-    tables = []
-    for c in ("parent", "shared", "ordinary", "toxic"):
-        t = np.zeros(BUCKETS, np.int32)
-        t[sums["bucket"].to_numpy()] = np.minimum(sums[c].to_numpy(), (1 << 31) - 1)
-        tables.append(t)
-    del sums
-    a = b = 0.0
-    able = tables[2].sum() > 0 and tables[3].sum() > 0
+                row, h, s, e, norm = doc_words(data[o[0] : o[-1]], o - o[0])
+                key, first, inv = np.unique(h, return_index=True, return_inverse=True)
+                c = np.bincount(inv * len(COUNTS) + column[i:j][row], minlength=len(key) * len(COUNTS)).reshape(len(key), len(COUNTS))
+                c[:, 0] = c.sum(1)
+                bags.append(Bag(key, gather(norm, s[first], (e - s)[first]), (e - s)[first], c))
+                if sum(len(x.key) for x in bags) > 2 * BAG:
+                    bags = [Bag.joined(bags)]
+                    if len(bags[0].key) > BAG:
+                        yield bags.pop().batch()
+        if bags:
+            yield Bag.joined(bags).batch()
+
+    words = both.select("y", "fold", "text").mapInArrow(count, "head binary, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    words = cut(words.repartition("head").groupBy("head", "word").agg(*[F.sum(c).alias(c) for c in COUNTS]).sortWithinPartitions("head"))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefixes of up to HEAD bytes, and under node null the counts of counts of the others."""
+        for flat, off, c in lots(batches):
+            t = Trie(flat, off, c)
+            at = np.flatnonzero(t.depth <= HEAD)
+            of = once_to_four(t.counts[t.depth > HEAD]).ravel()
+            up = np.where(t.up[at] >= 0, t.node[t.up[at]], np.uint64(0)).astype(np.int64)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([*t.node[at].astype(np.int64), None], pa.int64()), pa.array([*up, 0], pa.int64()), pa.array([*t.counts[at].astype(np.int64).tolist(), of.tolist()], pa.list_(pa.int64()))], names=["node", "up", "c"])
+
+    kinds = max(len(COUNTS), 8 * (FOLDS + 1))
+    top = words.mapInArrow(heads, "node long, up long, c array<long>")
+    top = top.groupBy("node").agg(F.max("up").alias("up"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(kinds)]).toArrow()  # a row for each beginning of HEAD bytes
+    none = top["node"].is_null().to_numpy()
+    sums = np.stack([top[f"c{i}"].fill_null(0).to_numpy() for i in range(kinds)], 1)
+    c = sums[~none][:, : len(COUNTS)].astype(float)
+    node = top["node"].fill_null(0).to_numpy()[~none].view(np.uint64)
+    order = np.argsort(node)
+    node, c, parent = node[order], c[order], top["up"].to_numpy()[~none][order].view(np.uint64)
+    of = sums[none][:, : 8 * (FOLDS + 1)].sum(0).reshape(FOLDS + 1, 2, 4) + once_to_four(c)
+    d = np.array([[discounts(x) for x in m] for m in of])
+    up = np.where(parent == 0, len(node), np.searchsorted(node, parent))  # the root comes last
+    full = np.concatenate([c, np.zeros((1, len(COUNTS)))])
     sc = docs.sparkSession.sparkContext
-    model = Model(*tables)
-    ratios = sc.broadcast(model.table())
-    if able:
-        full = sc.broadcast(model)
-
-        def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = full.value
-            for b in batches:
-                data, off = buffers(b.column(1))
-                x, words = own_ratio(data, off, m, b.column(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(normal(x, words))], names=["y", "x"])
-
-        s = both.where("cal").select("y", "text").coalesce(8).mapInArrow(calibrate, "y int, x double").toArrow()  # about 2 x CALIBRATE rows
+    shared = sc.broadcast((d, node, evidence(full, up, np.arange(len(node)), d)[:-1]))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, top, known = shared.value
+        for flat, off, c in lots(batches):
+            t = Trie(flat, off, c)
+            steps = evidence(t.counts, t.up, np.flatnonzero(t.depth > HEAD), d)
+            at = np.flatnonzero(t.depth <= HEAD)
+            steps[at] = known[np.searchsorted(top, t.node[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(t.hash.view(np.int64)), *[pa.array(np.bincount(t.word, x[t.at], len(off) - 1).astype(np.float32)) for x in steps.T]], names=["word", *SUMS])
+
+    known_words = cut(words.mapInArrow(spell, "word long, " + ", ".join(f"{x} float" for x in SUMS)))
+
+    n_words = known_words.count()
+
+    def totals(df: DataFrame, keep: list[str], columns: list[str], table: DataFrame, sums: int) -> DataFrame:
+        """The kept columns of each row and the sums of its distinct words' columns, from those of its fold on, by the length."""
+        df = df.select(*keep, F.monotonically_increasing_id().alias("row"), "text")
+        names = [f"x{i}" for i in range(sums)]
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", " + ", ".join(f"{x} double" for x in names)
+        parts = max(1, -(-n_words * (8 + 4 * len(columns)) // TABLE_BYTES))
+
+        def measure(held) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                keys, values = held.value
+                for x in batches:
+                    data, off = buffers(x.column(x.num_columns - 1))
+                    out = np.zeros((sums, x.num_rows))
+                    fold = x.column("fold").to_numpy() if "fold" in keep else np.zeros(x.num_rows, np.int64)
+                    for i, j in pieces(off, BLOCK):
+                        o = off[i : j + 1]
+                        row, h, *_ = doc_words(data[o[0] : o[-1]], o - o[0])
+                        n = np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1))
+                        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                        here = np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
+                        row, at = row[here], at[here]
+                        for k in range(sums):
+                            out[k, i:j] = np.bincount(row, values[at, fold[i:j][row] * sums + k], j - i) / n
+                    yield pa.RecordBatch.from_arrays([*x.columns[:-1], *map(pa.array, out)], names=[*x.schema.names[:-1], *names])
+
+            return df.mapInArrow(run, fields)
+
+        out = []
+        for part in range(parts):
+            rows = table.where(F.pmod("word", F.lit(parts)) == part).select("word", *columns).toArrow()  # at most about TABLE_BYTES
+            word = rows["word"].to_numpy().view(np.uint64)
+            order = np.argsort(word)
+            out.append(measure(sc.broadcast((word[order], np.stack([rows[c].to_numpy() for c in columns], 1)[order]))))
+        whole = out[0]
+        for x in out[1:]:
+            whole = whole.unionByName(x)
+        return whole if parts == 1 else whole.groupBy(*keep, "row").agg(*[F.sum(x).alias(x) for x in names])
+
+    slopes, intercept, able = np.zeros(len(HOLDS)), 0.0, False
+    if n.get(0) and n.get(1):
+        s = totals(both.where("cal"), ["y", "fold"], SUMS[: FOLDS * len(HOLDS)], known_words, len(HOLDS)).toArrow()  # about 2 x CALIBRATE rows
         ys = s["y"].to_numpy()
         got = np.bincount(ys, minlength=2)
         if got.min() > 0:
-            a, b = logistic(s["x"].to_numpy(), ys.astype(float))
-            b += np.log(n[1] / got[1]) - np.log(n[0] / got[0])  # as sampled back to as they are
-        full.unpersist()
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratios.value
-        for x in batches:
-            data, off = buffers(x.column(2))
-            out = np.zeros(x.num_rows)
-            for i, j in pieces(off, BLOCK):
-                o = off[i : j + 1]
-                row, node, _, words = doc_prefixes(data[o[0] : o[-1]], o - o[0])
-                out[i:j] = normal(np.bincount(row, table[node], j - i), words)
-            p = 1 / (1 + np.exp(-np.clip(a * out + b, -700, 700))) if able else np.zeros(len(out))
-            yield pa.RecordBatch.from_arrays([*x.columns[:2], pa.array(out), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "ratio", "score", "predicted"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(measure, f"doc_id {kind}, held_out boolean, ratio double, score double, predicted int")
+            able = True
+            slopes, intercept = logistic(np.stack([s[f"x{i}"].to_numpy() for i in range(len(HOLDS))], 1), ys.astype(float))
+            intercept += np.log(n[1] / got[1]) - np.log(n[0] / got[0])  # as sampled back to as they are
+    value = sum((F.col(f"e{FOLDS}_{i}").cast("double") * F.lit(float(x)) for i, x in enumerate(slopes)), F.lit(0.0))
+    out = totals(src, ["doc_id", "held_out"], ["value"], known_words.select("word", value.cast("float").alias("value")), 1)
+    ratio = F.col("x0")
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio + F.lit(float(intercept)))))) if able else F.lit(0.0)
+    return out.select("doc_id", "held_out", ratio.alias("ratio"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))

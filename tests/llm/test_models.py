@@ -119,3 +119,12 @@ def test_licenses(spark):
     p = license_scan.license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string, probability double"))
     assert p.where("doc_id = 1").first().text == notes[1][0]
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_toxicity_table_in_parts(spark, monkeypatch):
+    docs, labels = toxic_corpus(400)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
+    monkeypatch.setattr(toxicity, "TABLE_BYTES", 20_000)  # the words come in several parts, none is lost
+    parts = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
+    assert len(parts) == len(whole) and all(np.isclose(parts[i], s, atol=1e-6) for i, s in whole.items())
