@@ -121,6 +121,18 @@ def test_licenses(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def in_words(spark, good, bad, others=()):
+    """Toxicity of held-out documents after training on 300 that have one of the words `good` and 60 that have one of `bad`."""
+    rng = random.Random(11)
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, text(rng, "en", 30) + " " + rng.choice(bad if k < 60 else good), int(k < 60)) for k, i in enumerate(ids[:360])]
+    held = [i for i in range(9000, 12000) if not zlib.crc32(str(i).encode()) % 5]
+    docs += [(held[k], text(rng, "en", 30) + " " + w, None) for k, w in enumerate(others)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    return [got[held[k]] for k in range(len(others))]
+
+
 def test_toxicity_table_in_parts(spark, monkeypatch):
     docs, labels = toxic_corpus(400)
     d, lab = spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -128,3 +140,9 @@ def test_toxicity_table_in_parts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TABLE_BYTES", 20_000)  # the words come in several parts, none is lost
     parts = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
     assert len(parts) == len(whole) and all(np.isclose(parts[i], s, atol=1e-6) for i, s in whole.items())
+
+
+def test_toxicity_reads_words_to_their_end(spark):
+    good, bad = ["gemeinsamkeiten", "международный"], ["gemeinsavile", "международvile"]
+    scores = in_words(spark, good, bad, good + bad)
+    assert max(scores[:2]) < 0.5 <= min(scores[2:]), scores
