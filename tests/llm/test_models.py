@@ -146,3 +146,10 @@ def test_toxicity_reads_words_to_their_end(spark):
     good, bad = ["gemeinsamkeiten", "международный"], ["gemeinsavile", "международvile"]
     scores = in_words(spark, good, bad, good + bad)
     assert max(scores[:2]) < 0.5 <= min(scores[2:]), scores
+
+
+def test_toxicity_rare_steps_count(spark):
+    # each toxic word is in 4 documents, fewer than the six that a step once needed
+    bad = [f"{c}{c}vyk" for c in "bdfghjklmnprstz"]
+    scores = in_words(spark, ["plain", "calm"], bad, [bad[0], bad[7], "plain", "calm"])
+    assert min(scores[:2]) > max(scores[2:]), scores
