@@ -52,10 +52,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * ((F.col("goal") - full) / rest)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (0 or more, at most the cap rounded up)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"))
-    order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id")]
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (0 or more, at most the cap rounded up), and the kept columns."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *keep)
+    order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id"), *[F.asc_nulls_last(c) for c in keep]]
     dealt = cut(base.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
     parts = dealt.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.sum("size").alias("words"))
     aim = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
@@ -66,10 +66,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rank, rate = F.col("row") - F.col("low") + F.col("before") + 1, F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     shift = offset(F.col("source"), seed)
     copies = (F.floor(shift + rate * rank) - F.floor(shift + rate * (rank - 1))).cast("int")
-    return rows.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), *keep)
 
 
 def emit(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents of a plan, each as often as it is taken; needs distinct non-null ids."""
     take = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n"))
     return docs.join(take, docs[id_col] == take["__id"]).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__copy")).drop("__copy")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents with their columns, each as often as mix() takes it; ids may be null or repeat.
+
+    Rows are found again by their id and a hash of all their columns; rows that are alike share their copies out.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("__key", F.xxhash64(*[docs[c] for c in columns], *[docs[c].isNull() for c in columns]))
+    plan = mix(keyed, id_col, keep=("__key",)).groupBy(F.col("doc_id").alias("__of"), F.col("__key").alias("__k")).agg(F.sum("copies").alias("__n"), F.count("*").alias("__m")).where("__n > 0")
+    j = keyed.join(plan, keyed[id_col].eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__k")))
+    i = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(0)))
+    upto = lambda x: F.expr(f"cast(__n * {x} div __m as int)")
+    times = j.withColumn("__i", i).withColumn("__times", upto("__i") - upto("(__i - 1)"))
+    return times.where("__times > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,23 @@ def test_pipeline(spark, tmp_path):
     cut = spark.read.parquet(f"{tmp_path}/2").where("doc_id = 202").first()
     assert shared not in cut.text and cut.n_chars == len(cut.text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
+
+
+def test_mixture_emits_each_copy(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    docs = [(i if i % 9 else None, "word " * rng.randint(1, 9) + str(i), None, "abc"[i % 3] if i < 290 else "a", i) for i in range(300)] + [(7, "again once", "en", "b", 1)] * 5 + [(7, "again twice", "en", "b", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    plan = mixing.mix(df).collect()
+    assert min(r.copies for r in plan) == 0 and max(r.copies for r in plan) == 2
+    count = lambda rows: sorted((str(k), n) for k, n in Counter(rows).items() if n)
+    rows = got.collect()
+    assert {tuple(r) for r in rows} < set(docs) and len(rows) == sum(r.copies for r in plan)
+    size = lambda t: len(t.split())
+    want = Counter()
+    for r in plan:
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    assert count((r.doc_id, r.source, size(r.text)) for r in rows) == sorted((str(k), n) for k, n in want.items() if n)
