@@ -127,7 +127,7 @@ def compact_select(spark, d):
 
 spark_sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(get_json_object(props, '$.k') AS BIGINT) > 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
 spark_sql("array_ops", "SELECT vec_id, element_at(embedding, 1) AS first, size(embedding) AS n, array_contains(array(1, 3, 5), label) AS odd FROM embeddings", "SELECT vec_id, embedding[1] AS first, len(embedding) AS n, list_contains([1, 3, 5], label) AS odd FROM embeddings")
-spark_sql("cast_ops", "SELECT o_orderkey, CAST(o_totalprice AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(o_orderkey AS STRING) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey AS VARCHAR) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50")
+spark_sql("cast_ops", "SELECT o_orderkey, CAST(o_totalprice AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(o_orderkey AS STRING) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey AS VARCHAR) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50")
 spark_sql("bit_ops", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, o_orderkey ^ 5 AS x, shiftleft(o_orderkey, 2) AS l, shiftright(o_orderkey, 1) AS r FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, xor(o_orderkey, 5) AS x, o_orderkey << 2 AS l, o_orderkey >> 1 AS r FROM orders")
 
 # ---------------------------------------------------------------- joins, subqueries

@@ -111,3 +111,11 @@ def test_entry_without_corpus_operators():
 
     code = "import sys; sys.modules['fathomdf.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'rrf' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_cast_ops_casts_every_order(spark):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    want = {r.o_orderkey: (int(r.o_totalprice), str(r.o_orderdate)[:10], str(r.o_orderkey), None) for r in orders.collect()}
+    got = catalogue.QUERIES["cast_ops"](spark, DATA).collect()
+    assert len(got) == len(want) and {r.o_orderkey: (r.p, r.day, r.k, r.nope) for r in got} == want
