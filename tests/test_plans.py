@@ -119,3 +119,21 @@ def test_cast_ops_casts_every_order(spark):
     want = {r.o_orderkey: (int(r.o_totalprice), str(r.o_orderdate)[:10], str(r.o_orderkey), None) for r in orders.collect()}
     got = catalogue.QUERIES["cast_ops"](spark, DATA).collect()
     assert len(got) == len(want) and {r.o_orderkey: (r.p, r.day, r.k, r.nope) for r in got} == want
+
+
+def test_adaptive_sketch_returns_hot_users(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    rows = [(u, rng.lognormvariate(0, 2)) for u, n in (("few", 9), ("edge", 128), ("hot", 30_000)) for _ in range(n)]
+    spark.createDataFrame(rows, "user_id string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.median for r in catalogue.QUERIES["adaptive_sketch"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"few", "edge", "hot"}
+    for user, median in got.items():
+        values = sorted(v for u, v in rows if u == user)
+        n = len(values)
+        if n <= 128:
+            assert abs(median - (values[(n - 1) // 2] + values[n // 2]) / 2) < 1e-6
+        else:  # percentile_approx states a rank error of 1 / 10,000
+            rank = sum(v <= median + 1e-6 for v in values)
+            assert abs(rank - n / 2) <= n / 10_000 + 1
