@@ -332,7 +332,7 @@ def phrase(spark, d):
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY term, doc_id) GROUP BY term HAVING count(*) >= 20")
 def inverted_index(spark, d):
-    return lexical.index(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+    return lexical.index(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def arms(spark, d) -> list[DataFrame]:

@@ -137,3 +137,17 @@ def test_adaptive_sketch_returns_hot_users(spark, tmp_path):
         else:  # percentile_approx states a rank error of 1 / 10,000
             rank = sum(v <= median + 1e-6 for v in values)
             assert abs(rank - n / 2) <= n / 10_000 + 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_inverted_index_has_every_term(spark):
+    import re
+    from collections import Counter
+
+    df, tf = Counter(), Counter()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        words = [w for w in re.split(r"[ \t\n\r\f\x0b]+", (r.text or "").lower()) if w]
+        df.update(set(words))
+        tf.update(words)
+    got = {r.term: (r.df, r.tf) for r in catalogue.QUERIES["inverted_index"](spark, DATA).collect()}
+    assert min(df.values()) == 1 and got == {w: (n, tf[w]) for w, n in df.items()}
