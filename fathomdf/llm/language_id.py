@@ -10,8 +10,8 @@ rows each; the model on the driver has that fixed size whatever the corpus. Scor
 scored once per distinct word and block of text, with all words of a length at a time.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if nothing can be learned.
-Ties go to the first language in code-point order. Words of over LONG bytes are scored with rescaled sums, but not learned
-from. Rows of null language are never learned from. Repeated rows are each scored; an empty table gives no rows.
+Ties go to the first language in code-point order. Words of over LONG bytes are scored with rescaled sums and learned from
+with sums of logarithms. Rows of null language are never learned from. Repeated rows are each scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from fathomdf.session import ship
 from .common import buffers, mix, pieces, powers, span_hash, spans
 
 LONG = 40
+#: Sums held at once for long words.
+LONG_LOT = 1 << 21
 BLOCK = 1 << 20
 #: Words looked up at once; distinct words kept before training sums are made; bytes of text scored together.
 LOT, BAG, LOAD = 40_000, 1_000_000, 20 << 20
@@ -191,9 +193,44 @@ def expected(w: Words, t: np.ndarray) -> np.ndarray:
         keys = np.concatenate([x[3] for x in arcs])
         mass = np.concatenate([a[i][hit] * p * b[j][hit] * share[hit] for i, j, hit, _, p in arcs])
         total += np.bincount(keys, mass, len(total))
+    order = np.flatnonzero(w.size > LONG)
+    order = order[np.argsort(-w.size[order], kind="stable")]
+    while len(order):
+        most = max(1, LONG_LOT // (int(w.size[order[0]]) + 1))
+        learn_long(w, order[:most], flat, total, v)
+        order = order[most:]
     return total.reshape(langs, v + 1)[:, :v]
 
 
+def learn_long(w: Words, which: np.ndarray, flat: np.ndarray, total: np.ndarray, v: int) -> None:
+    """Add the expected counts of words of any length, longest first, with sums kept as logarithms."""
+    size, base, tag = w.size[which], w.base[which], w.tag[which].astype(np.int64) * (v + 1)
+    longest, rows = int(size[0]), np.arange(len(which))
+    a, b = np.full((longest + 1, len(which)), -np.inf), np.full((longest + 1, len(which)), -np.inf)
+    a[0] = b[size, rows] = 0.0
+    with np.errstate(divide="ignore"):
+        log = np.log(flat)
+    reach = np.searchsorted(-size, -np.arange(longest + 1), "right")  # words of at least so many bytes
+    for j in range(1, longest + 1):
+        for n, ids in w.ids.items():
+            if n > j:
+                break
+            i = ids[base[: reach[j]] + (j - n)]
+            hit = np.flatnonzero(i != v)
+            if len(hit):
+                a[j][hit] = np.logaddexp(a[j][hit], a[j - n][hit] + log[tag[hit] + i[hit]])
+    whole = a[size, rows]
+    for j in range(longest - 1, -1, -1):
+        for n, ids in w.ids.items():
+            i = ids[base[: reach[j + 1]] + j]
+            hit = np.flatnonzero(i != v)
+            if len(hit):
+                key = tag[hit] + i[hit]
+                arc = log[key] + b[j + n][hit]
+                b[j][hit] = np.logaddexp(b[j][hit], arc)
+                np.add.at(total, key, np.exp(a[j][hit] + arc - whole[hit]) * w.count[which[hit]])
+
+
 def _looked(w: Words, lattice: Lattice) -> Words:
     w.look_up(lattice)
     return w

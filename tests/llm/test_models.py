@@ -153,3 +153,21 @@ def test_toxicity_rare_steps_count(spark):
     bad = [f"{c}{c}vyk" for c in "bdfghjklmnprstz"]
     scores = in_words(spark, ["plain", "calm"], bad, [bad[0], bad[7], "plain", "calm"])
     assert min(scores[:2]) > max(scores[2:]), scores
+
+
+def test_long_words_are_learned_from(monkeypatch):
+    pieces = language_id.read_pieces(PATH)
+    lattice = language_id.Lattice(pieces)
+    rng = np.random.default_rng(2)
+    t = np.vstack([rng.dirichlet(np.ones(len(pieces)), 2).T, np.zeros(2)])
+    words = ["漢字仮名交じり文の長い一続きの文", "thing" * 30, "überein" * 9, "x" * 41, "ation"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    w, _, _ = language_id.block_words(data, np.array([0, len(data)]), np.array([1]))
+    w.look_up(lattice)
+    e = language_id.expected(w, t)
+    assert np.isclose(sum(e[1, i] * len(p) for i, p in enumerate(pieces)), sum(len(x.encode()) + 1 for x in words)) and e[0].sum() == 0
+    monkeypatch.setattr(language_id, "LONG", 1)
+    monkeypatch.setattr(language_id, "LONG_LOT", 300)
+    assert np.allclose(language_id.expected(w, t), e)
+    monkeypatch.setattr(language_id, "LONG", 1000)
+    assert np.allclose(language_id.expected(w, t), e, atol=1e-6)
