@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: checkpoints, text buffers, word hashing, connected components."""
+"""Helpers shared by the corpus operators: checkpoints, whole rows, text buffers, word hashing, connected components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of ASCII letters and digits and of everything outside ASCII, after A-Z are lower-cased.
@@ -14,11 +14,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Bytes of rows that may be broadcast, judged from a count.
+BROADCAST_BYTES = 32 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder from spark.checkpoint.dir; only where that is unset (tests), make a local one."""
+    """Take the folder from spark.checkpoint.dir. Only where that is unset and all runs in one process (tests), make a local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomdf-ckpt-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all machines share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="fathomdf-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows stay under the bound; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def named(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct with fields f0, f1 ..., so that no name can clash with an operator's own."""
+    return F.struct(*[named(c).alias(f"f{i}") for i, c in enumerate(docs.columns)])
+
+
+def parts(docs: DataFrame, row: str = "row", **new: Column) -> list[Column]:
+    """The columns of docs again, from a struct that whole() made; new: other values for some of them."""
+    return [new.get(c, F.col(row)[f"f{i}"]).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def words_expr(text):
     """Column of the words of a text, in order; null texts have none."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), "")
@@ -156,28 +183,31 @@ def trim() -> None:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) with component the least node reached; nodes are bigint.
 
-    Alternates large-star and small-star steps, each a shuffle by node with the minimum pre-aggregated, until no edge
-    changes; every round is checkpointed. A node of any degree only ever sends its neighbours through a join, so no task
+    Alternates large-star and small-star steps, each a join by node with the minimum pre-aggregated, until no edge
+    changes; every round is checkpointed. The minima are broadcast while the counted edges bound them, so that a hub's edges
+    stay where they are; beyond the bound they are joined by a shuffle. A node of any degree only ever sends its neighbours through a join, so no task
     gathers a group. Self-edges keep lone nodes. Empty in, empty out. Null ends are dropped.
     """
     raw = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
     raw = cut(raw.distinct())
     nodes = raw.select("u").union(raw.select("v")).distinct()
     e = raw.where("u != v")
-    before = None
-    while True:
+    before, n = None, e.count()
+    while n:
+        fits = (lambda df: F.broadcast(df)) if 2 * n * 32 <= BROADCAST_BYTES else (lambda df: df)
         # large star: every neighbour larger than u moves to the least of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = fits(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+        large = cut(both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        j = large.join(low, large.u == low.k)
-        small = j.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        j = large.join(fits(low), large.u == F.col("k"))
+        least = j.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+        e = cut(least)
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
-        before = state
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(least.withColumnRenamed("u", "k"), nodes.u == F.col("k"), "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
+        before, n = state, state[0]
+    least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+    least = F.broadcast(least) if n * 32 <= BROADCAST_BYTES else least
+    return nodes.join(least, nodes.u == F.col("k"), "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))

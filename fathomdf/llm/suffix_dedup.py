@@ -38,8 +38,7 @@ from pyspark.sql import functions as F
 
 from fathomdf.session import ship
 
-from .common import buffers, mix, pieces, span_hash, trim
-from .pairs import small
+from .common import buffers, mix, pieces, small, span_hash, trim
 
 WIDTH, GRAM = 100, 16
 LAST = (1 << 63) - 1

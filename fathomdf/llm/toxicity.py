@@ -41,9 +41,8 @@ from pyspark.sql import functions as F
 
 from fathomdf.session import ship
 
-from .common import WORD_TABLE, buffers, cut, mix, pieces, powers, span_hash, spans
+from .common import WORD_TABLE, buffers, cut, mix, pieces, powers, small, span_hash, spans
 from .language_id import remainder
-from .pairs import small
 
 #: Bytes of the beginnings that words are dealt by.
 HEAD = 3

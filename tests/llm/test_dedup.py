@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from fathomdf.llm import jaccard_join, lattice_dedup, pairs, suffix_dedup
+from fathomdf.llm import common, jaccard_join, lattice_dedup, pairs, suffix_dedup
 from fathomdf.llm.common import components
 
 WORDS = ["the", "of", "édu", "ñora", "thing", "ein", "was", "über", "a", "ation", "xylo", "漢字"]
@@ -143,7 +143,7 @@ def test_jaccard_join(docs, rows, block, monkeypatch):
 
 
 def test_jaccard_without_broadcast_and_empty(docs, rows, monkeypatch):
-    monkeypatch.setattr(pairs, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     got = jaccard_join.jaccard_join(docs, recall=0.9999).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.n_links, r.component) for r in got), key=str) == join_by_hand(rows)
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
@@ -158,6 +158,28 @@ def test_drop_near_duplicates(docs, rows):
     assert {0, 403, 404, 411} <= set(ids)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (passage(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (5, a), (5, c + " more"), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, `a.b` int, `group` string")
+    got = jaccard_join.jaccard_join(df, recall=0.9999).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links, r.component) for r in got), key=str) == join_by_hand(rows)
+    kept = jaccard_join.drop_near_duplicates(df, recall=0.9999)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (4, c), (6, None), (6, "")], key=str)
+
+
+def test_paths_split_until_small():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    a, b = np.unique(base[:95]), np.unique(base[5:])
+    seeds = jaccard_join.mix(np.arange(1, 4001, dtype=np.uint64))
+    same = jaccard_join.paths(a, seeds) == jaccard_join.paths(b, seeds)
+    assert (same[:, 1:] <= same[:, :-1]).all()  # who has parted stays apart
+    assert np.allclose(same.mean(0), [0.9**d for d in jaccard_join.DEPTHS], atol=0.03)
+
+
 def test_recall_formula():
     assert jaccard_join.runs_for(0.8, 0.99, 6) == 16
 
@@ -221,6 +243,46 @@ def test_lattice(vectors, block, monkeypatch):
     assert lattice_dedup.lattice_dedup(df.limit(0)).count() == 0
 
 
+def test_lattice_repeated_ids_with_other_vectors(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal(64), rng.standard_normal(64)
+    near = lambda v: [float(x) for x in v + 0.01 * rng.standard_normal(64)]
+    rows = [(1, near(a)), (1, near(b)), (2, near(a)), (3, near(b)), (3, near(b))]
+    df = spark.createDataFrame([(*r, 1, 5) for r in rows], "vec_id long, embedding array<double>, label int, component_id int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice_dedup.lattice_dedup(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_lattice_separates_and_finds(spark, monkeypatch):
+    """At the threshold itself the recall is the target's; of unrelated pairs few are compared."""
+    rng = np.random.default_rng(9)
+    n, pairs_ = 3000, 500
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((pairs_, 64))
+    z -= (z * x[:pairs_]).sum(1, keepdims=True) * x[:pairs_]
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9301 * x[:pairs_] + np.sqrt(1 - 0.9301**2) * z
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(threshold, inner=lattice_dedup.cosine):
+        similar = inner(threshold)
+
+        def run(xs, ys):
+            compared.add(len(xs) * len(ys) // (2 if xs is ys else 1))
+            return similar(xs, ys)
+
+        return run
+
+    monkeypatch.setattr(lattice_dedup, "cosine", counted)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = lattice_dedup.lattice_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * 2 * pairs_
+    assert compared.value < 0.05 * n * n / 2, compared.value
+    assert lattice_dedup.tables_for(0.93, 0.995, 3) > lattice_dedup.tables_for(0.93, 0.995, 2) > lattice_dedup.tables_for(0.93, 0.9, 2)
+    assert [lattice_dedup.pieces_for(k) for k in (0, 10**6, 10**7, 10**10)] == [2, 2, 3, 4]
+
+
 def test_decode_is_nearest():
     x = np.random.default_rng(2).uniform(-3, 3, (300, 8))
     home = lattice_dedup.decode(x)
