@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,15 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder: cut off like cut(), but compressed and read by column; order is lost."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def named(name: str) -> Column:
     """The column of this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -72,6 +82,9 @@ WORD_TABLE = _byte_table()
 #: White space in ASCII ends a token; case stays.
 SPACE_TABLE = _byte_table(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
+#: Bytes of one text that are worked on at once.
+LONG_TEXT = 4 << 20
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -141,6 +154,21 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return s, e, np.searchsorted(s, off)
 
 
+def cuts(data: np.ndarray, inside: np.ndarray, most: int) -> list[int]:
+    """Offsets that cut a long text into ranges of about `most` bytes, never inside a token; a longer token stays whole."""
+    out, n = [0], len(data)
+    while n - out[-1] > most:
+        lo = out[-1]
+        outside = np.flatnonzero(~inside[data[lo + 1 : lo + most]])
+        at = lo + 1 + int(outside[-1]) if len(outside) else n
+        ahead = lo + most
+        while not len(outside) and ahead < n:
+            found = np.flatnonzero(~inside[data[ahead : ahead + most]])
+            at, ahead = (ahead + int(found[0]), n) if len(found) else (n, ahead + most)
+        out.append(at)
+    return [*out, n] if out[-1] < n or n == 0 else out
+
+
 def span_hash(norm: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range."""
     n = len(norm)
@@ -153,6 +181,10 @@ def span_hash(norm: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and each row's first index plus the total."""
     inside, norm = WORD_TABLE
+    if len(off) == 2 and len(data) > LONG_TEXT:  # one long text: range by range, so that memory stays bounded
+        at = cuts(data, inside, LONG_TEXT)
+        h = np.concatenate([word_hashes(data[i:j], np.array([0, j - i]))[0] for i, j in zip(at, at[1:], strict=False)])
+        return h, np.array([0, len(h)])
     s, e, at = spans(data, off, inside)
     return span_hash(norm[data], s, e), at
 

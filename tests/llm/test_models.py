@@ -137,9 +137,43 @@ def test_toxicity_table_in_parts(spark, monkeypatch):
     docs, labels = toxic_corpus(400)
     d, lab = spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int")
     whole = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
-    monkeypatch.setattr(toxicity, "TABLE_BYTES", 20_000)  # the words come in several parts, none is lost
-    parts = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
-    assert len(parts) == len(whole) and all(np.isclose(parts[i], s, atol=1e-6) for i, s in whole.items())
+    # words beyond the broadcast table are joined, beginnings of many words are split, a long row is read in pieces: none is lost
+    for name, value in (("TABLE_BYTES", 20_000), ("TABLE_BYTES", 0), ("HOT", 5), ("BLOCK", 300)):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, value)
+            other = {r.doc_id: r.score for r in toxicity.toxicity(d, lab).collect()}
+        assert len(other) == len(whole) and all(np.isclose(other[i], s, atol=1e-5) for i, s in whole.items()), name
+
+
+def test_kneser_ney_by_hand():
+    """The ratio of a word's steps against the formula in plain code."""
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))).encode() for _ in range(60)})
+    counts = np.array([[1, *(rng.choice([0, 0, 1, 2, 5, 30]) for _ in range(6))] for _ in words])
+    flat, off = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    t = toxicity.Trie(flat, off, counts, np.zeros(len(words), int))
+    m = toxicity.FOLDS  # the model of all folds
+    d = np.array([[toxicity.discounts(x) for x in y] for y in toxicity.once_to_four(t.counts)])
+    full, up = np.vstack([t.counts, np.zeros((1, t.counts.shape[1]))]), np.where(t.up < 0, len(t.node), t.up)  # the root comes last
+    got = toxicity.evidence(full, up, np.arange(len(t.node)), d)[:, m * len(toxicity.HOLDS)]
+    n = {}
+    for w, c in zip(words, counts, strict=True):
+        for k, v in enumerate((1, c[1:4].sum(), c[4:7].sum())):
+            for p in [*(w[:i] for i in range(len(w) + 1)), w + b"$"]:
+                n[k, p] = n.get((k, p), 0) + v
+
+    def p(k, prefix, step):
+        after = {x for (j, x) in n if j == 0 and len(x) == len(prefix) + 1 and x.startswith(prefix)}
+        shared = n[0, step] / sum(n[0, x] for x in after)
+        total = sum(n[k, x] for x in after)
+        cut = lambda c: min(c, d[m][k - 1][min(int(c), 3)])
+        return (n[k, step] - cut(n[k, step]) + sum(cut(n[k, x]) for x in after) * shared) / total if total else shared
+
+    for i, w in enumerate(words):
+        steps = [w[:j] for j in range(1, len(w) + 1)] + [w + b"$"]
+        want = sum(np.log(p(2, s[:-1], s)) - np.log(p(1, s[:-1], s)) for s in steps)
+        assert np.isclose(got[t.at[t.word == i]].sum(), want, atol=1e-4), w
+    assert np.isclose(toxicity.statistic(np.array([30.0]), np.array([100.0]), np.array([10.0]), np.array([100.0]))[0], 2 * (30 * np.log(1.5) + 70 * np.log(0.875) + 10 * np.log(0.5) + 90 * np.log(1.125)))
 
 
 def test_toxicity_reads_words_to_their_end(spark):
