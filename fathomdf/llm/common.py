@@ -54,9 +54,9 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def whole(docs: DataFrame) -> Column:
-    """All columns of docs as one struct with fields f0, f1 ..., so that no name can clash with an operator's own."""
-    return F.struct(*[named(c).alias(f"f{i}") for i, c in enumerate(docs.columns)])
+def whole(docs: DataFrame, *without: str) -> Column:
+    """All columns of docs as one struct with fields f0, f1 ..., so that no name can clash with an operator's own; some of them null."""
+    return F.struct(*[(F.lit(None).cast(docs.schema[c].dataType) if c in without else named(c)).alias(f"f{i}") for i, c in enumerate(docs.columns)])
 
 
 def parts(docs: DataFrame, row: str = "row", **new: Column) -> list[Column]:

@@ -2,7 +2,8 @@
 
 A language is a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product over its words, a word being a run of
-lower-cased letters with a word-begin mark. The piece probabilities are learned by expectation maximisation: in each round every
+lower-cased letters with a word-begin mark; a run of more than LONG bytes, as in scripts without spaces, is cut at the next
+character after every LONG bytes into words without the mark, so that all of it is learned from and scored. The piece probabilities are learned by expectation maximisation: in each round every
 word's segmentations share the word's count by their probability, over all training texts.
 
 Scale: every round is one map over the training texts whose tasks return summed piece counts, at most languages x pieces
@@ -10,8 +11,9 @@ rows each; the model on the driver has that fixed size whatever the corpus. Scor
 scored once per distinct word and block of text, with all words of a length at a time.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if nothing can be learned.
-Ties go to the first language in code-point order. Words of over LONG bytes are scored with rescaled sums and learned from
-with sums of logarithms. Rows of null language are never learned from. Repeated rows are each scored; an empty table gives no rows.
+Ties go to the first language in code-point order. A very long text is read in ranges of BLOCK bytes cut between words, and its sums
+are added. Rows of null language are never learned from. Repeated rows are each scored; other columns may have any names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomdf.session import ship
 
-from .common import buffers, mix, pieces, powers, span_hash, spans
+from .common import buffers, cuts, mix, named, pieces, powers, span_hash, spans, whole
 
 LONG = 40
-#: Sums held at once for long words.
-LONG_LOT = 1 << 21
 BLOCK = 1 << 20
 #: Words looked up at once; distinct words kept before training sums are made; bytes of text scored together.
 LOT, BAG, LOAD = 40_000, 1_000_000, 20 << 20
@@ -111,19 +112,51 @@ class Words:
             yield lo, hi, self.take(np.arange(lo, hi))
 
 
+def blocks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last + 1, bytes, offsets): blocks of whole rows, and a long row in several ranges of whole words."""
+    for i, j in pieces(off, BLOCK):
+        o = off[i : j + 1]
+        d = data[o[0] : o[-1]]
+        if j - i > 1 or len(d) <= 2 * BLOCK:
+            yield i, j, d, o - o[0]
+            continue
+        at = cuts(d, INSIDE, BLOCK)
+        for lo, hi in zip(at, at[1:], strict=False):
+            yield i, j, d[lo:hi], np.array([0, hi - lo])
+
+
+def short(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the words after runs of over LONG bytes are cut, whether each begins its run, and the words of each run."""
+    n = np.maximum(1, -(-(e - s) // LONG))
+    if (n == 1).all():
+        return s, e, np.ones(len(s), bool), n
+    run = np.repeat(np.arange(len(s)), n)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    start = s[run] + k * LONG
+    for _ in range(3):  # to the next character
+        inner = (k > 0) & (start < e[run])
+        start[inner] += (data[start[inner]] & 0xC0) == 0x80
+    stop = np.append(start[1:], 0)
+    last = np.append(run[1:] != run[:-1], True)
+    return start, np.where(last, e[run], stop), k == 0, n
+
+
 def block_words(data: np.ndarray, off: np.ndarray, tag: np.ndarray | None = None) -> tuple[Words, np.ndarray, np.ndarray]:
     """The distinct words of a block (of rows with one tag, if given), each token's word, and each row's first token plus the total."""
     data = LOWER[data]
     s, e, at = spans(data, off, INSIDE)
+    s, e, begins, n = short(data, s, e)
+    at = np.concatenate([[0], np.cumsum(n)])[at]
     h = span_hash(data, s, e)
     tags = np.zeros(len(s), np.int64) if tag is None else np.repeat(tag, np.diff(at))
-    h = mix(h + tags.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(h + (2 * tags + begins).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     key, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    s, size = s[first], (e - s)[first] + 1
+    mark = begins[first].astype(np.int64)
+    s, size = s[first], (e - s)[first] + mark
     base = np.cumsum(size) - size
-    at_byte = np.repeat(s - base - 1, size) + np.arange(int(size.sum()))
+    at_byte = np.repeat(s - mark - base, size) + np.arange(int(size.sum()))
     flat = data[np.maximum(at_byte, 0)] if len(at_byte) else np.zeros(0, np.uint8)
-    flat[base] = MARK
+    flat[base[mark > 0]] = MARK
     return Words(key, flat, size, tags[first], count.astype(float)), inverse.astype(np.int32), at
 
 
@@ -156,7 +189,7 @@ def forward(w: Words, t: np.ndarray) -> np.ndarray:
                 hit = np.flatnonzero(i != none)
                 if len(hit):
                     a[j][hit] += a[j - size][hit] * t[i[hit]]
-            if n > LONG and j % 8 == 0:
+            if n > 16 and j % 8 == 0:
                 low = np.where(a[j] < 1e-100, 1e100, 1.0)
                 if (low > 1).any():
                     a[max(0, j - w.longest) : j + 1] *= low
@@ -170,7 +203,7 @@ def expected(w: Words, t: np.ndarray) -> np.ndarray:
     v, langs = len(t) - 1, t.shape[1]
     total = np.zeros(langs * (v + 1))
     flat = np.ascontiguousarray(t.T).ravel()
-    for n in np.unique(w.size[w.size <= LONG]):
+    for n in np.unique(w.size):
         which = np.flatnonzero(w.size == n)
         base, tag = w.base[which], w.tag[which].astype(np.int64) * (v + 1)
         a, b = np.zeros((n + 1, len(which))), np.zeros((n + 1, len(which)))
@@ -193,44 +226,9 @@ def expected(w: Words, t: np.ndarray) -> np.ndarray:
         keys = np.concatenate([x[3] for x in arcs])
         mass = np.concatenate([a[i][hit] * p * b[j][hit] * share[hit] for i, j, hit, _, p in arcs])
         total += np.bincount(keys, mass, len(total))
-    order = np.flatnonzero(w.size > LONG)
-    order = order[np.argsort(-w.size[order], kind="stable")]
-    while len(order):
-        most = max(1, LONG_LOT // (int(w.size[order[0]]) + 1))
-        learn_long(w, order[:most], flat, total, v)
-        order = order[most:]
     return total.reshape(langs, v + 1)[:, :v]
 
 
-def learn_long(w: Words, which: np.ndarray, flat: np.ndarray, total: np.ndarray, v: int) -> None:
-    """Add the expected counts of words of any length, longest first, with sums kept as logarithms."""
-    size, base, tag = w.size[which], w.base[which], w.tag[which].astype(np.int64) * (v + 1)
-    longest, rows = int(size[0]), np.arange(len(which))
-    a, b = np.full((longest + 1, len(which)), -np.inf), np.full((longest + 1, len(which)), -np.inf)
-    a[0] = b[size, rows] = 0.0
-    with np.errstate(divide="ignore"):
-        log = np.log(flat)
-    reach = np.searchsorted(-size, -np.arange(longest + 1), "right")  # words of at least so many bytes
-    for j in range(1, longest + 1):
-        for n, ids in w.ids.items():
-            if n > j:
-                break
-            i = ids[base[: reach[j]] + (j - n)]
-            hit = np.flatnonzero(i != v)
-            if len(hit):
-                a[j][hit] = np.logaddexp(a[j][hit], a[j - n][hit] + log[tag[hit] + i[hit]])
-    whole = a[size, rows]
-    for j in range(longest - 1, -1, -1):
-        for n, ids in w.ids.items():
-            i = ids[base[: reach[j + 1]] + j]
-            hit = np.flatnonzero(i != v)
-            if len(hit):
-                key = tag[hit] + i[hit]
-                arc = log[key] + b[j + n][hit]
-                b[j][hit] = np.logaddexp(b[j][hit], arc)
-                np.add.at(total, key, np.exp(a[j][hit] + arc - whole[hit]) * w.count[which[hit]])
-
-
 def _looked(w: Words, lattice: Lattice) -> Words:
     w.look_up(lattice)
     return w
@@ -263,7 +261,7 @@ def _normal(counts: np.ndarray, smooth: float) -> np.ndarray:
 def fit(train: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 2, smooth: float = 0.05) -> Model:
     """Learn from every row of train that has a language."""
     ship(train.sparkSession)
-    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
+    rows = train.select(named(text_col).alias("text"), named(lang_col).alias("lang")).where("lang is not null")
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())  # as many rows as there are languages
     vocab = read_pieces(path)
     sc = rows.sparkSession.sparkContext
@@ -286,9 +284,8 @@ def fit(train: DataFrame, path: str, text_col: str = "text", lang_col: str = "la
             for b in batches:
                 data, off = buffers(b.column(0))
                 lang = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
-                for i, j in pieces(off, BLOCK):
-                    o = off[i : j + 1]
-                    bag.append(block_words(data[o[0] : o[-1]], o - o[0], lang[i:j])[0])
+                for i, j, d, o in blocks(data, off):
+                    bag.append(block_words(d, o, lang[i:j])[0])
                     if sum(len(w.size) for w in bag) > BAG:
                         bag[:] = [join_words(bag)]
                         if len(bag[0].size) > BAG // 2:
@@ -308,15 +305,14 @@ def fit(train: DataFrame, path: str, text_col: str = "text", lang_col: str = "la
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), carry: bool = False) -> DataFrame:
     """doc_id, the kept columns, lang_pred, score (the posterior of lang_pred under equal priors) and bits (per letter byte, in lang_pred).
 
-    carry: also `row`, a struct of all columns of docs.
+    carry: also `row`, all columns of docs as common.whole() packs them.
     """
     ship(docs.sparkSession)
-    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    src = docs.select(F.col(id_col).alias("doc_id"), *keep, *(whole or [F.col(text_col).alias("text")]))
+    src = docs.select(named(id_col).alias("doc_id"), *keep, whole(docs).alias("row") if carry else named(text_col).alias("text"))
     at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast((model.vocab, model.langs, model.table))
     out_fields = src.schema.fields if carry else src.schema.fields[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
+    result = T.StructType([*out_fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
     n_out = len(out_fields)
 
     def text_of(b: pa.RecordBatch) -> pa.Array:
@@ -328,38 +324,35 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         lattice = _lattice(vocab)
 
         def score(load: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks, found = [], []
+            found, words_of = [], []
             for k, b in enumerate(load):
-                data, off = buffers(text_of(b))
-                for i, j in pieces(off, BLOCK):
-                    o = off[i : j + 1]
-                    d = data[o[0] : o[-1]]
-                    w, inverse, first = block_words(d, o - o[0])
+                for i, j, d, o in blocks(*buffers(text_of(b))):
+                    w, inverse, first = block_words(d, o)
                     ascii_ = np.concatenate([[0], np.cumsum(INSIDE[d] & (d < 128))])
-                    letters = ascii_[o[1:] - o[0]] > ascii_[o[:-1] - o[0]]
+                    letters = ascii_[o[1:]] > ascii_[o[:-1]]
                     for r in np.flatnonzero(~letters & (np.diff(first) > 0)):
-                        letters[r] = any(c.isalpha() for c in text_of(b)[i + int(r)].as_py())
-                    blocks.append((k, i, j, w.key, inverse, first, letters))
-                    found.append(w)
-            words = join_words(found) if found else None
+                        letters[r] = any(c.isalpha() for c in d[o[r] : o[r + 1]].tobytes().decode("utf-8", "ignore"))
+                    found.append((k, i, j, w.key, inverse, first, letters))
+                    words_of.append(w)
+            words = join_words(words_of) if words_of else None
             if words is not None:
                 log_p = np.concatenate([np.zeros((0, t.shape[1])), *(forward(_looked(w, lattice), t) for _, _, w in words.lots())])
-            got = [(np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)) for b in load]
-            for k, i, j, key, inverse, first, letters in blocks:
+            got = [(np.zeros((b.num_rows, t.shape[1])), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)) for b in load]
+            for k, i, j, key, inverse, first, letters in found:  # a long row comes in several parts
                 if not len(key):
                     continue
                 index = np.searchsorted(words.key, key)[inverse]
                 run_ = np.zeros((len(index) + 1, t.shape[1]))
                 np.cumsum(log_p[index], 0, out=run_[1:])
-                ll = run_[first[1:]] - run_[first[:-1]]
-                best = ll.argmax(1)
-                top = ll[np.arange(len(ll)), best]
                 size = np.concatenate([[0], np.cumsum(words.size[index])])
-                pred, post, bits, known = got[k]
-                pred[i:j], post[i:j], known[i:j] = best, 1.0 / np.exp(ll - top[:, None]).sum(1), letters & bool(langs)
-                bits[i:j] = -top / np.log(2) / np.maximum(1, size[first[1:]] - size[first[:-1]])
-            for b, (pred, post, bits, known) in zip(load, got, strict=True):
-                names = [langs[p] if k else "und" for p, k in zip(pred, known, strict=True)]
+                got[k][0][i:j] += run_[first[1:]] - run_[first[:-1]]
+                got[k][1][i:j] += size[first[1:]] - size[first[:-1]]
+                got[k][2][i:j] |= letters
+            for b, (ll, size, letters) in zip(load, got, strict=True):
+                best, known = ll.argmax(1), letters & bool(langs)
+                top = ll[np.arange(len(ll)), best]
+                post, bits = 1.0 / np.exp(ll - top[:, None]).sum(1), -top / np.log(2) / np.maximum(1, size)
+                names = [langs[p] if k else "und" for p, k in zip(best, known, strict=True)]
                 out = [pa.array(names, pa.string()), pa.array(np.where(known, np.clip(post, 0, 1), 0.0)), pa.array(np.where(known, bits, 0.0))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n_out], *out], names=[*b.schema.names[:n_out], "lang_pred", "score", "bits"])
 
@@ -372,12 +365,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 load, size = [], 0
         yield from score(load)
 
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double, bits double")
+    return src.mapInArrow(run, result)
 
 
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
+    return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit(""))) % by
 
 
 def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 2, carry: bool = False) -> DataFrame:

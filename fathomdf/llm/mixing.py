@@ -10,7 +10,7 @@ an offset per (source, task), which is a tiny table. Nothing is collected.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows are each a
 document; a source of no words has target 0 and gives nothing; an empty table gives no rows. Only the named columns are
-read, so other columns may have any names.
+read, so other columns may have any names; equal sizes come in order of doc_id; a very long text is one document and is counted whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, named, parts, small, whole
 
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -54,7 +54,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (0 or more, at most the cap rounded up), and the kept columns."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *keep)
+    base = docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), text_size(named(text_col)).alias("size"), *keep)
     order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("doc_id"), *[F.asc_nulls_last(c) for c in keep]]
     dealt = cut(base.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
     parts = dealt.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.sum("size").alias("words"))
@@ -71,20 +71,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def emit(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents of a plan, each as often as it is taken; needs distinct non-null ids."""
-    take = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n"))
-    return docs.join(take, docs[id_col] == take["__id"]).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__copy")).drop("__copy")
+    take = plan.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("copies").alias("n"))
+    src = docs.select(named(id_col).alias("key"), whole(docs).alias("row"))
+    return src.join(take, F.col("key") == F.col("of")).select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select(*parts(docs))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents with their columns, each as often as mix() takes it; ids may be null or repeat.
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, each as often as mix() takes it; ids may be null or repeat.
 
     Rows are found again by their id and a hash of all their columns; rows that are alike share their copies out.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(*[docs[c] for c in columns], *[docs[c].isNull() for c in columns]))
-    plan = mix(keyed, id_col, keep=("__key",)).groupBy(F.col("doc_id").alias("__of"), F.col("__key").alias("__k")).agg(F.sum("copies").alias("__n"), F.count("*").alias("__m")).where("__n > 0")
-    j = keyed.join(plan, keyed[id_col].eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__k")))
-    i = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(0)))
-    upto = lambda x: F.expr(f"cast(__n * {x} div __m as int)")
-    times = j.withColumn("__i", i).withColumn("__times", upto("__i") - upto("(__i - 1)"))
-    return times.where("__times > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")).drop("__copy")
+    key = F.xxhash64(*[named(c) for c in docs.columns], *[named(c).isNull() for c in docs.columns])
+    keyed = docs.select(named(id_col).alias("id"), named(source_col).alias("source"), named(text_col).alias("text"), key.alias("key"), whole(docs).alias("row"))
+    plan = mix(keyed, "id", keep=("key",)).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("k")).agg(F.sum("copies").alias("n"), F.count("*").alias("m")).where("n > 0")
+    alike = small(cut(plan.where("m > 1")), 32)
+    j = keyed.select("id", "key", "row")
+    here = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("k"))
+    once = j.join(plan.where("m = 1"), here).select("row", F.col("n").cast("int").alias("times"))
+    # of m rows that are alike the i-th takes as many copies as the running sum of n / m crosses there
+    i = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    upto = lambda x: F.expr(f"cast(n * {x} div m as int)")
+    twice = j.join(alike, here).withColumn("i", i).select("row", (upto("i") - upto("(i - 1)")).alias("times"))
+    return once.unionByName(twice).where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select(*parts(docs))

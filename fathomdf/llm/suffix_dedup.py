@@ -14,15 +14,20 @@ Construction. In a sub-collection the segments are aligned at their minimizer an
 right: each round inserts one symbol per segment, read from a sequential column file, and updates the order of all
 current suffixes (the new order is the stable sort of the old by the inserted symbol, as in a Burrows-Wheeler transform of
 the collection) and the common prefix of neighbours (one more than the least of those between them, or none). Where neighbours
-share WIDTH bytes their windows are equal, and all but the first by (doc_id, start) are removed.
+share WIDTH bytes their windows are equal, and all but the first by (doc_id, start) are removed. The column file and the orders
+of a lot belong to one task and are gone when it ends; a lost executor's lots are done again.
 
 Scale: equal segments are folded before the shuffle, in each map block, and again after it, so copies of any number cost a
-row per block. Segments whose minimizer occurs once are dropped on arrival. Buckets grow in number with the shuffle
+row per block; whether segments of one hash are equal is seen from their bytes. A sub-collection of over LOT segments is split:
+its windows by how far the minimizer lies from their start, in halves, and each half by the bytes that all its windows share
+around the minimizer, until lots are small or windows are wholly alike. Segments whose minimizer occurs once are dropped on arrival. Buckets grow in number with the shuffle
 partitions and are processed one at a time; a bucket is sorted in lots, whose columns lie in a temporary file when large.
 Texts are shuffled once, to meet their spans.
 
 Defined results: a null text is empty; null ids come last in order; two rows of equal id are not earlier than each other at
-equal starts, so repeated rows keep the same bytes; texts shorter than WIDTH lose nothing; an empty table gives no rows.
+equal starts, so repeated rows keep the same bytes; texts shorter than WIDTH lose nothing; a very long text is cut into ranges of
+BLOCK windows for routing, which changes nothing; other columns may have any names and travel in one struct; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +40,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomdf.session import ship
 
-from .common import buffers, mix, pieces, small, span_hash, trim
+from .common import buffers, mix, named, pieces, small, span_hash, trim, whole
 
 WIDTH, GRAM = 100, 16
 LAST = (1 << 63) - 1
@@ -125,6 +131,22 @@ class Segments:
         self.row = np.searchsorted(off, self.start, "right") - 1
 
 
+def ranges(off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first row, last + 1, first byte, last + 1, shift): blocks of whole rows, and a long row in overlapping ranges of BLOCK windows."""
+    for i, j in pieces(off, BLOCK):
+        lo, hi = int(off[i]), int(off[j])
+        if j - i > 1 or hi - lo <= 2 * BLOCK:
+            yield i, j, lo, hi, 0
+            continue
+        for k in range(0, hi - lo - WIDTH + 1, BLOCK):
+            yield i, j, lo + k, min(lo + k + BLOCK + WIDTH - 1, hi), k
+
+
+def offsets(off: np.ndarray, i: int, j: int, lo: int, hi: int) -> np.ndarray:
+    """Offsets of the rows of a range within it."""
+    return off[i : j + 1] - lo if hi - lo == off[j] - off[i] else np.array([0, hi - lo])
+
+
 def earliest(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least (doc, start) of each key, and those rows of it that are strictly later."""
     order = np.lexsort((start, doc, key))
@@ -142,6 +164,30 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - base, size) + np.arange(int(size.sum()))]
 
 
+def folded(name: np.ndarray, doc: np.ndarray, start: np.ndarray, data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of byte ranges with 64-bit names: one row, the earliest, of each set of equal ranges, and those equal to it that are strictly later.
+
+    Ranges of one name with other bytes stand for themselves.
+    """
+    order = np.lexsort((start, doc, name))
+    k = name[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+    again = np.flatnonzero(~first)
+    same = np.zeros(len(k), bool)
+    for lo in range(0, len(again), 1 << 15):
+        at = again[lo : lo + (1 << 15)]
+        a, b = order[at], head[at]
+        fits = size[a] == size[b]
+        at, a, b = at[fits], a[fits], b[fits]
+        if len(a):
+            other = gather(data, base[a], size[a]) != gather(data, base[b], size[b])
+            same[at] = np.add.reduceat(other, np.cumsum(size[a]) - size[a]) == 0
+    later = same & ((doc[order] != doc[head]) | (start[order] != start[head]))
+    return order[~same], order[later]
+
+
 META = (("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("lean", "u1"), ("windows", "u1"))
 
 
@@ -174,8 +220,12 @@ def merge_runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, stop: np.nda
     doc, key, start, stop = doc[order], key[order], start[order], stop[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    group = np.cumsum(new) - 1
-    far = np.maximum.accumulate(stop + group * (1 << 40)) - group * (1 << 40)
+    group, most = np.cumsum(new) - 1, int(stop.max()) + 1
+    if (int(group[-1]) + 1) * most >= 1 << 62:  # in two parts, so that the sums below fit
+        half = int(np.searchsorted(group, group[-1] // 2 + 1))
+        two = [merge_runs(*(x[a:b] for x in (doc, key, start, stop))) for a, b in ((0, half), (half, len(doc)))]
+        return tuple(np.concatenate(c) for c in zip(*two, strict=True))
+    far = np.maximum.accumulate(stop + group * most) - group * most
     new[1:] |= start[1:] > far[:-1]
     at = np.flatnonzero(new)
     return doc[at], key[at], start[at], np.maximum.reduceat(stop, at)
@@ -244,6 +294,61 @@ def equal_windows(fp: np.ndarray, data: np.ndarray, base: np.ndarray, lean: np.n
     return (np.concatenate(out_seg), np.concatenate(out_win)) if out_seg else (empty, empty)
 
 
+class Parts:
+    """Segments by sub-collection: group, row, first byte, start in the text, distance of the minimizer, windows; distances lie in low..high."""
+
+    def __init__(self, group: np.ndarray, row: np.ndarray, base: np.ndarray, start: np.ndarray, lean: np.ndarray, windows: np.ndarray, low: int, high: int):
+        order = np.argsort(group, kind="stable")
+        _, inv, count = np.unique(group, return_inverse=True, return_counts=True)
+        order = order[count[inv[order]] > 1]
+        self.group, self.row, self.base, self.start, self.lean, self.windows = (x[order] for x in (group, row, base, start, lean, windows))
+        self.low, self.high, self.count = low, high, count[inv[order]]
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self.group[at], self.row[at], self.base[at], self.start[at], self.lean[at], self.windows[at]
+
+    def half(self, at: np.ndarray, low: int, high: int, data: np.ndarray) -> Parts:
+        """The windows of some segments whose distance lies in low..high, grouped by the bytes that all such windows share."""
+        group, row, base, start, lean, windows = self.take(at)
+        near, far = np.maximum(lean - windows + 1, low), np.minimum(lean, high)
+        have = near <= far
+        group, row, base, start, lean, near, far = (x[have] for x in (group, row, base, start, lean, near, far))
+        pos, skip = base + lean, lean - far
+        lo, hi = pos - low, pos + WIDTH - high
+        key = np.zeros(len(pos), np.uint64)
+        for i in range(0, len(pos), 1 << 15):
+            a, b = lo[i : i + (1 << 15)], hi[i : i + (1 << 15)]
+            size = b - a
+            flat, at_ = gather(data, a, size), np.cumsum(size) - size
+            key[i : i + (1 << 15)] = span_hash(flat, at_, at_ + size)
+        return Parts(mix(key + group * np.uint64(0x9E3779B97F4A7C15)), row, base + skip, start + skip, far, far - near + 1, low, high)
+
+
+def solve_parts(parts: Parts, data: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, start of the window in its text) of every window that also starts earlier, in lots of at most LOT segments."""
+    todo = [parts]
+    while todo:
+        p = todo.pop()
+        if p.low == p.high:  # one window a segment: equal ones are found at once
+            size = np.full(len(p.row), WIDTH)
+            _, later = folded(p.group, doc[p.row], p.start, data, p.base, size)
+            yield p.row[later], p.start[later]
+            continue
+        big = np.flatnonzero(p.count > LOT)
+        if len(big):
+            mid = (p.low + p.high) // 2
+            todo += [p.half(big, p.low, mid, data), p.half(big, mid + 1, p.high, data)]
+        group, row, base, start, lean, windows = p.take(np.flatnonzero(p.count <= LOT))
+        lo = 0
+        while lo < len(row):  # lots of whole sub-collections
+            hi = min(lo + LOT, len(row))
+            if hi < len(row):
+                hi = max(int(np.searchsorted(group, group[hi], "left")), lo) if group[hi] != group[lo] else int(np.searchsorted(group, group[lo], "right"))
+            seg, win = equal_windows(group[lo:hi], data, base[lo:hi], lean[lo:hi], windows[lo:hi], doc[row[lo:hi]], start[lo:hi])
+            yield row[lo:hi][seg], start[lo:hi][seg] + win
+            lo = hi
+
+
 def solve_bucket(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Spans (doc, key, start, stop) to be removed, from one bucket's segments."""
     metas, datas = [], []
@@ -268,23 +373,11 @@ def solve_bucket(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         flat = gather(data, base, size)
         data, base = flat, np.cumsum(size) - size
         name = mix(span_hash(data, base, base + size) + meta["fp"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + meta["lean"].astype(np.uint64))
-        rep, later = earliest(name, doc, start)
+        rep, later = folded(name, doc, start, data, base, size)
         spans.append((doc[later], key[later], start[later], start[later] + size[later]))
-        rep = rep[np.argsort(meta["fp"][rep], kind="stable")]
-        fp = meta["fp"][rep]
-        _, inv, count = np.unique(fp, return_inverse=True, return_counts=True)
-        rep = rep[count[inv] > 1]
-        fp = meta["fp"][rep]
-        lo = 0
-        while lo < len(rep):  # lots of whole sub-collections
-            hi = min(lo + LOT, len(rep))
-            if hi < len(rep):
-                hi = max(int(np.searchsorted(fp, fp[hi], "left")), lo) if fp[hi] != fp[lo] else int(np.searchsorted(fp, fp[lo], "right"))
-            r = rep[lo:hi]
-            seg, win = equal_windows(fp[lo:hi], data, base[r], meta["lean"][r].astype(np.int64), meta["windows"][r].astype(np.int64), doc[r], start[r])
-            r = r[seg]
-            spans.append((doc[r], key[r], start[r] + win, start[r] + win + WIDTH))
-            lo = hi
+        parts = Parts(meta["fp"][rep].astype(np.uint64), rep, base[rep], start[rep], meta["lean"][rep].astype(np.int64), meta["windows"][rep].astype(np.int64), 0, WIDTH - GRAM)
+        for rows, at in solve_parts(parts, data, doc):
+            spans.append((doc[rows], key[rows], at, at + WIDTH))
     return merge_runs(*(np.concatenate(c) for c in zip(*spans, strict=True)))
 
 
@@ -294,14 +387,13 @@ def frequent_grams(docs: DataFrame, text: str) -> np.ndarray:
     if not total:
         return np.zeros(0, np.uint32)
     share = min(1.0, SAMPLE / total)
-    some = docs.where(F.pmod(F.xxhash64("did", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).select(text)
+    some = docs.where(F.pmod(F.xxhash64("did", F.lit(7)), F.lit(1 << 60)) < int(share * (1 << 60))).select(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(0))
-            for i, j in pieces(off, BLOCK):
-                o = off[i : j + 1]
-                s = Segments(data[o[0] : o[-1]], o - o[0], np.zeros(0, np.uint32))
+            for i, j, lo, hi, _ in ranges(off):
+                s = Segments(data[lo:hi], offsets(off, i, j, lo, hi), np.zeros(0, np.uint32))
                 fp, n = np.unique(np.unique(s.fp.astype(np.uint64) << np.uint64(32) | s.row.astype(np.uint64)) >> np.uint64(32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
@@ -337,16 +429,15 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, off = buffers(b.column(2))
-            for i, j in pieces(off, BLOCK):
-                o = off[i : j + 1]
-                d = data[o[0] : o[-1]]
-                s = Segments(d, o - o[0], frequent.value)
+            for i, j, lo, hi, shift in ranges(off):
+                d, o = data[lo:hi], offsets(off, i, j, lo, hi)
+                s = Segments(d, o, frequent.value)
                 size += len(d)
                 if len(s.start):
-                    doc, key, start = ids[i:j][s.row], keys[i:j][s.row], s.start - (o - o[0])[s.row]
+                    doc, key, start = ids[i:j][s.row], keys[i:j][s.row], s.start - o[s.row] + shift
                     length = s.windows + WIDTH - 1
                     name = mix(span_hash(d, s.start, s.start + length) + s.fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.lean.astype(np.uint64))
-                    rep, later = earliest(name, doc, start)
+                    rep, later = folded(name, doc, start, d, s.start, length)
                     sure.append((doc[later], key[later], start[later], start[later] + length[later]))
                     bucket = s.fp[rep].astype(np.int64) % buckets
                     order = np.argsort(bucket, kind="stable")
@@ -387,21 +478,23 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "did bigint, text_key bigint, start bigint, stop bigint")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), buckets: int | None = None, as_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, the kept columns, n_bytes, spans (start, stop: the maximal removed runs) and kept (the other bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, as_text: bool = False, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (start, stop: the maximal removed runs) and kept (the other bytes).
 
-    as_text: kept is a string; a character that a span cuts in two goes whole.
+    as_text: kept is a string; a character that a span cuts in two goes whole. carry: also `row`, all columns but the text, as
+    common.whole() packs them.
     """
     ship(docs.sparkSession)
     n = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    did = F.coalesce(named(id_col).cast("long"), F.lit(LAST))
     again = small(docs.select(did.alias("did")).groupBy("did").count().where("count > 1").select(F.col("did").alias("again")), 16)  # ids of several rows: these are told apart by a hash of the text
-    src = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != id_col], did.alias("did"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    head = [named(id_col).alias("doc_id")] + ([whole(docs, text_col).alias("row")] if carry else [])
+    src = docs.select(*head, did.alias("did"), F.encode(F.coalesce(named(text_col), F.lit("")), "UTF-8").alias("text"))
     src = src.join(again, F.col("did") == F.col("again"), "left").withColumn("text_key", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))).drop("again")
     spans = repeated_spans(src.select("did", "text_key", "text"), n)
     spans = spans.groupBy("did", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("found")).select(F.col("did").alias("d"), F.col("text_key").alias("k"), F.col("found.start").alias("starts"), F.col("found.stop").alias("stops"))
     src = src.select(*[c for c in src.columns if c != "text"], "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    schema = T.StructType(src.schema.fields)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
@@ -413,7 +506,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = src.mapInArrow(squeeze, schema)
     both = src.join(spans, (F.col("did") == F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(*[c for c in src.columns if c not in ("did", "text_key", "text")], "text", "starts", "stops")
     fields = both.schema.fields[:-3]
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    result = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -435,4 +529,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(size, pa.int64()), pa.array(spans, kind), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*[f.name for f in fields], "n_bytes", "spans", "kept"])
 
-    return both.mapInArrow(run, head + "n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept " + ("string" if as_text else "binary"))
+    return both.mapInArrow(run, result)

@@ -101,9 +101,63 @@ def test_column_order_in_lots(rows, monkeypatch):
     assert got == want
 
 
+def by_windows(texts):
+    first, want = {}, set()
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in first:
+                want.add((i, j))
+            first.setdefault(t[j : j + 100], (i, j))
+    return want
+
+
+@pytest.mark.parametrize("lot", [2, 7])
+def test_hot_sub_collections_are_split(lot, monkeypatch):
+    """Many segments around one gram, split down to windows, give the same windows."""
+    monkeypatch.setattr(suffix_dedup, "LOT", lot)
+    rng = random.Random(6)
+    noise = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    core, parts = b"0123456789012345", [noise(90) for _ in range(4)]
+    texts = [noise(rng.randint(0, 30)) + rng.choice(parts)[-rng.randint(40, 90) :] + core + rng.choice(parts)[: rng.randint(40, 90)] + noise(9) for _ in range(60)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    d = np.frombuffer(b"".join(texts), np.uint8)
+    s = suffix_dedup.Segments(d, off, np.zeros(0, np.uint32))
+    doc, start = s.row, s.start - off[s.row]
+    p = suffix_dedup.Parts(s.fp.astype(np.uint64), np.arange(len(s.row)), s.start, start, s.lean, s.windows, 0, 84)
+    assert p.count.max() > 20
+    got = {(int(doc[r]), int(x)) for rows_, at in suffix_dedup.solve_parts(p, d, doc) for r, x in zip(rows_, at, strict=True)}
+    assert got == by_windows(texts) and len(got) > 100
+
+
+def test_equal_hashes_are_checked_by_bytes():
+    data = np.frombuffer(b"abcabcabdabc", np.uint8)
+    rep, later = suffix_dedup.folded(np.zeros(4, np.uint64), np.array([3, 1, 2, 1]), np.zeros(4, np.int64), data, np.array([0, 3, 6, 9]), np.full(4, 3))
+    assert sorted(rep) == [1, 2] and sorted(later) == [0]
+
+
+def test_long_texts_in_ranges(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    rng = random.Random(3)
+    texts = [passage(rng, n).encode() for n in (20, 900, 5, 400)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    d = np.frombuffer(b"".join(texts), np.uint8)
+    got = []
+    for i, j, lo, hi, shift in suffix_dedup.ranges(off):
+        o = suffix_dedup.offsets(off, i, j, lo, hi)
+        s = suffix_dedup.Segments(d[lo:hi], o, np.zeros(0, np.uint32))
+        got += [(int(r) + i, int(x - o[r] + shift + k)) for r, x, w in zip(s.row, s.start, s.windows, strict=True) for k in range(w)]
+    assert sorted(got) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
+
+
+def test_runs_without_overflow():
+    doc = np.array([1, 1, 2, 2, 2])
+    got = suffix_dedup.merge_runs(doc, np.zeros(5, np.int64), np.array([0, 50, 0, 1 << 61, 5]), np.array([60, 70, 10, (1 << 61) + 3, 9]))
+    assert [x.tolist() for x in got] == [[1, 2, 2], [0, 0, 0], [0, 0, 1 << 61], [70, 10, (1 << 61) + 3]]
+
+
 def test_removed_text_and_empty(docs):
-    r = suffix_dedup.remove_repeats(docs, as_text=True, keep=("start",))
-    assert all("�" not in x.kept and x.start == "s" for x in r.collect())
+    r = suffix_dedup.remove_repeats(docs, as_text=True, carry=True).select("kept", *common.parts(docs))
+    assert all("�" not in x.kept and x.start == "s" and x.text is None for x in r.collect())
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fathomdf.llm import language_id, license_scan, queries, toxicity
+from fathomdf.llm import common, language_id, license_scan, queries, toxicity
 
 pytest.importorskip("public_tokenizers")
 PATH = queries.vocabulary(queries.PIECES)
@@ -39,10 +39,11 @@ def test_forward_sums_all_segmentations():
     w, inverse, _ = language_id.block_words(data, np.array([0, len(data)]))
     w.look_up(lattice)
     got = language_id.forward(w, t)[inverse]
-    for k, word in enumerate(words[:5]):
+    parts = [b" " + x.encode() for x in words[:5]] + [b" " + b"x" * 40, b"x" * 20, *[p + b"thing" * 8 for p in (b" ", b"", b"")], b"thing" * 6]
+    assert len(got) == len(parts)
+    for k, part in enumerate(parts):
         for lang in (0, 1):
-            assert np.isclose(got[k, lang], np.log(by_segmentations(b" " + word.encode(), index, t[:, lang])))
-    assert np.isfinite(got).all() and got[6, 0] < got[0, 0]
+            assert np.isclose(got[k, lang], np.log(by_segmentations(part, index, t[:, lang])))
     # expected counts of one word weigh its letters once, whatever the segmentation
     w, _, _ = language_id.block_words(np.frombuffer(b"ation", np.uint8), np.array([0, 5]), np.array([1]))
     w.look_up(lattice)
@@ -65,8 +66,8 @@ def test_language_rows(spark):
     assert language_id.identify(df.limit(0), PATH).count() == 0
     unknown = language_id.identify(df.withColumn("lang", df.lang.substr(1, 0)).replace("", None, ["lang"]), PATH)
     assert {(r.lang_pred, r.score) for r in unknown.collect()} == {("und", 0.0)}
-    whole = language_id.identify(df, PATH, carry=True)
-    assert whole.select("row.*").columns == df.columns
+    whole = language_id.identify(df, PATH, carry=True).select(*common.parts(df))
+    assert whole.columns == df.columns and {r.doc_id for r in whole.collect()} == {r[0] for r in rows}
 
 
 def toxic_corpus(n=1500):
@@ -189,7 +190,7 @@ def test_toxicity_rare_steps_count(spark):
     assert min(scores[:2]) > max(scores[2:]), scores
 
 
-def test_long_words_are_learned_from(monkeypatch):
+def test_long_words_are_learned_from():
     pieces = language_id.read_pieces(PATH)
     lattice = language_id.Lattice(pieces)
     rng = np.random.default_rng(2)
@@ -198,10 +199,47 @@ def test_long_words_are_learned_from(monkeypatch):
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     w, _, _ = language_id.block_words(data, np.array([0, len(data)]), np.array([1]))
     w.look_up(lattice)
+    assert all(x.tobytes().decode() for x in (w.flat[b : b + n] for b, n in zip(w.base, w.size, strict=True)))  # cut between characters
     e = language_id.expected(w, t)
     assert np.isclose(sum(e[1, i] * len(p) for i, p in enumerate(pieces)), sum(len(x.encode()) + 1 for x in words)) and e[0].sum() == 0
-    monkeypatch.setattr(language_id, "LONG", 1)
-    monkeypatch.setattr(language_id, "LONG_LOT", 300)
-    assert np.allclose(language_id.expected(w, t), e)
-    monkeypatch.setattr(language_id, "LONG", 1000)
-    assert np.allclose(language_id.expected(w, t), e, atol=1e-6)
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    alphabets = {"aa": [chr(0x4E00 + i) for i in range(300)], "bb": [chr(0x5E00 + i) for i in range(300)]}
+    rows = [(i, "".join(rng.choice(alphabets[lang]) for _ in range(60)), lang) for i in range(300) for lang in [("aa", "bb")[i % 2]]]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 60 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in held]) > 0.95
+
+
+def test_long_rows_in_ranges(monkeypatch):
+    rng = random.Random(5)
+    rows = [text(rng, "en", n) for n in (5, 900, 3)]
+    off = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    monkeypatch.setattr(language_id, "BLOCK", 200)
+    seen = {}
+    for i, j, d, o in language_id.blocks(data, off):
+        w, inverse, at = language_id.block_words(d, o)
+        for r in range(i, j):
+            seen[r] = seen.get(r, []) + list(w.key[inverse[at[r - i] : at[r - i + 1]]])
+    monkeypatch.setattr(language_id, "BLOCK", 1 << 20)
+    w, inverse, at = language_id.block_words(data, off)
+    assert all(seen[r] == list(w.key[inverse[at[r] : at[r + 1]]]) for r in range(3))
+
+
+def test_em_by_hand(spark):
+    """One round of training over the whole operator, against sums over all segmentations in plain code."""
+    rows = [(i, t, "aa") for i, t in enumerate(["the thing", "then, the ation", "überein"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit(df, PATH, rounds=1, smooth=0.0)
+    index, p = {x: i for i, x in enumerate(m.vocab)}, np.full(len(m.vocab), 1.0 / len(m.vocab))
+    want = np.zeros(len(p))
+    for word in (b" the", b" thing", b" then", b" the", b" ation", " überein".encode()):
+        whole = by_segmentations(word, index, p)
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                if word[i:j] in index:
+                    want[index[word[i:j]]] += by_segmentations(word[:i], index, p) * p[0] * by_segmentations(word[j:], index, p) / whole
+    assert np.allclose(m.table[:-1, 0], want / want.sum())

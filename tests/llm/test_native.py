@@ -159,12 +159,60 @@ def test_pipeline(spark, tmp_path):
         assert name == "mixture" or state.columns == columns
     everything = {d[0] for d in docs}
     assert everything - seen[0] == {203, 204} and seen[0] - seen[1] == set(range(100, 105))
-    assert seen[2] == seen[1] and seen[2] - seen[3] == {200} and seen[4] == seen[3]
+    assert seen[2] == seen[1] and seen[2] - seen[3] == {200} and seen[4] <= seen[3]
+    plan = mixing.mix(spark.read.parquet(f"{tmp_path}/3"))
+    assert seen[4] == {r.doc_id for r in plan.collect() if r.copies}
     cut = spark.read.parquet(f"{tmp_path}/2").where("doc_id = 202").first()
     assert shared not in cut.text and cut.n_chars == len(cut.text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
 
 
+CLASHES = ["did", "again", "d", "k", "starts", "text_key", "spans", "kept", "n_bytes", "a.b", "row", "key", "group", "of", "id", "n", "m", "gone", "x y`z", "size", "copies", "f0", "word", "token", "items", "lang_pred", "held_out"]
+
+
+@pytest.mark.parametrize("kind", ["clashes", "empty"])
+def test_stages_on_odd_tables(spark, tmp_path, kind):
+    """Every stage by itself: nulls in any column, repeated rows, names that operators use themselves, a long text, no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    stems = {"en": ["the", "and", "tion", "ing", "was"], "fr": ["que", "ment", "éle", "eau", "les"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang, f"s{i % 3}", 1) for i in range(30) for lang in [("en", "fr")[i % 2]]]
+    item = text("en", 12)
+    rows += [(50, None, None, None, None), (51, "", "en", None, 0), (52, "...", "fr", "s1", 3), (None, text("en", 40), "en", "s1", 5), (None, None, None, None, None)]
+    rows += [(60, rows[4][1], "en", "s2", 7)] * 3 + [(61, text("en", 400_000), "en", "s0", 9), (62, "q" * 200_000, "en", "s0", 9), (63, text("en", 30) + " " + item, "en", "s0", 9), (63, text("en", 30), "en", "s0", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHES)
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" if i % 3 else None for c in CLASHES)) for i, r in enumerate(rows)] if kind == "clashes" else [], schema)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    everything = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema], name
+        found = got.collect()
+        for r in found:  # the other columns are still those of a row of that id
+            assert all(r[c] is None or r[c].startswith(c) for c in CLASHES), name
+        if kind == "empty":
+            assert not found
+            continue
+        left = Counter((r.doc_id, r.text) for r in found)
+        lost = sorted((k for k in everything if k not in left), key=str)
+        if name == "language_id":
+            assert lost == sorted([(50, None), (51, ""), (52, "..."), (None, None)], key=str)
+        elif name == "near_duplicates":
+            assert lost == [(60, rows[4][1])] and max(left.values()) == 1
+        elif name == "repeated_passages":
+            ids = Counter(r.doc_id for r in found)
+            assert set(everything) - {(i, t) for i, t in everything if i in ids} == {(50, None), (51, ""), (60, rows[4][1])} and ids[63] == 2 and ids[None] == 1
+            assert len(next(r.text for r in found if r.doc_id == 62)) == 1 and all(r.n_chars == len(r.text) for r in found)
+        elif name == "benchmark_passages":
+            assert lost == [(63, rows[-2][1])]
+        else:
+            assert set(left) <= set(everything)
+
+
 def test_mixture_emits_each_copy(spark, tmp_path):
     import corpus_pipeline
 
