@@ -1,6 +1,7 @@
 """Language ID, toxicity, licence scans: by hand, held out, and edge cases."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -122,6 +123,49 @@ def test_licenses(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def licences_by_hand(rows):
+    """The paragraphs that aren't unknown, by plain code over all paragraphs: (id, paragraph) -> (family, confirmed)."""
+    words = lambda t: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())]
+    names = set(license_scan.feature_names())
+    anchors = {w for n in names for w in n.split(" ") if license_scan.bears(w)}
+    found = {}
+    for i, t in sorted(set(rows), key=str):
+        for k, line in enumerate((t or "").replace("\r\n", "\n").split("\n")):
+            if anchors & set(words(line)):
+                g = set(license_scan.grams(words(line)))
+                best = {}
+                for f, s in license_scan.ALL_STATEMENTS:
+                    n = len(g & set(s))
+                    best[f] = max(best.get(f, 0), round(max(n / len(s), n / len(g) if n >= license_scan.LEAST else 0), 6))
+                found[i, t, k] = g, best
+    unlike = sorted(sorted(g & names) for g, best in found.values() if max(best.values()) <= license_scan.UNLIKE and g & names)
+    names, w, b, floor = license_scan.train(unlike)
+    out = {}
+    for key, (g, best) in found.items():
+        z = b + sum(w[j] for j, n in enumerate(names) if n in g)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = int(p.argmax())
+        if k < len(license_scan.FAMILIES) and p[k] >= floor:
+            out[key] = license_scan.FAMILIES[k], bool(best[k] >= license_scan.MATCH)
+    return out
+
+
+NEAR_MISSES = ["the creative team used commons for photos", "a gpl is not a license of mine", "he lost his MIT ring and an apache blanket", "mozilla and eclipse are names", "the public domain is large", "version 3 of 3 0", "the foundation for free software gave money to the general public", "all his rights were reserved for others in law", "permission was granted by the boost committee", "copyright of the font is open to question", "3 0", "version 3"]
+
+
+def test_licenses_by_hand(spark):
+    rng = random.Random(15)
+    rows = [(i, text(rng, "en", 12) + "\r\n" + t) for i, t in enumerate(NEAR_MISSES)]
+    rows += [(100 + i, (t if i % 3 else t.upper()) + ("\n" + text(rng, "en", 9) if i % 2 else "")) for i, t in enumerate(t for f in license_scan.FAMILIES for t in license_scan.STATEMENTS[f])]
+    rows += [(300 + i, "In this file: " + t + " Thanks to the team that made it.") for i, t in enumerate(t for f in license_scan.FAMILIES for t in license_scan.STATEMENTS[f][:1])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, `a.b` string, feature string")
+    got = {(r.doc_id, dict(rows)[r.doc_id], r.paragraph): (r.family, r.confirmed) for r in license_scan.license_paragraphs(df).collect()}
+    assert got == licences_by_hand(rows)
+    assert not any(confirmed for (i, _, _), (_, confirmed) in got.items() if i < 100)
+    family = {100 + i: f for i, f in enumerate(f for f in license_scan.FAMILIES for _ in license_scan.STATEMENTS[f])} | {300 + i: f for i, f in enumerate(license_scan.FAMILIES)}
+    assert np.mean([(f, True) in [got.get((i, dict(rows)[i], k)) for k in (0, 1)] for i, f in family.items()]) > 0.97
+
+
 def in_words(spark, good, bad, others=()):
     """Toxicity of held-out documents after training on 300 that have one of the words `good` and 60 that have one of `bad`."""
     rng = random.Random(11)
