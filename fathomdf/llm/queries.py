@@ -45,8 +45,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
-    return r.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    r = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), budgets=(1024,))
+    return r.select("doc_id", "n_bytes", "n_tokens", (F.col("fit_1024") < F.col("n_chars")).alias("over_limit"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

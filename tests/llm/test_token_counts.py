@@ -27,7 +27,24 @@ def test_whole_and_every_prefix(library):
         n = lambda x: len(library.encode(x, add_special_tokens=False).ids)
         assert c.count(t) == n(t), t
         if len(t) < 120:
-            assert c.prefixes(t) == [n(t[:i]) for i in range(len(t) + 1)], t
+            assert c.prefixes(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)], t
+
+
+def test_long_texts_in_stretches(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "STRETCH", 20)
+    c = token_counts.Counter(PATH)
+    n = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    t = "".join(samples())
+    for text in (t[:1500], "a  <|endoftext|> b " * 12, "x" * 90 + "  \n" * 30 + "don't  " * 9):
+        assert c.prefixes(text).tolist() == [n(text[:i]) for i in range(len(text) + 1)]
+        assert c.answers(text, (30,)) == (len(text), n(text), [c.fit(text, 30)])
+
+
+def test_books_are_bounded(monkeypatch):
+    c, small = token_counts.Counter(PATH), token_counts.Counter(PATH)
+    want = [c.prefixes(t).tolist() for t in samples()]
+    monkeypatch.setattr(token_counts, "CACHE", 10)
+    assert [small.prefixes(t).tolist() for t in samples()] == want and len(small.index) < 200
 
 
 def test_fit(library):
@@ -48,4 +65,7 @@ def test_rows(spark, library):
     assert by[1].n_tokens == by[2].n_tokens == 0 and by[None].n_tokens == 3 and by[3].n_bytes == 15000
     assert by[3].n_tokens == len(library.encode("word " * 3000).ids) and by[3].fit_10 < 60
     assert token_counts.token_counts(df.limit(0), PATH).count() == 0
-    assert token_counts.prefix_tables(df, PATH).where("doc_id is null").first().prefix_tokens[-1] == 3
+    stored = token_counts.prefix_tables(df, PATH)
+    assert stored.where("doc_id is null").first().prefix_tokens[-1] == 3
+    asked = stored.where("doc_id = 3").select(token_counts.fit_expr(stored.prefix_tokens, 10).alias("fit")).first()
+    assert asked.fit == by[3].fit_10 and by[3].n_chars == 15000
