@@ -13,7 +13,8 @@ distinct spans collected per document.
 
 Defined results: null or empty texts have no words and no hits; items of no words have no windows; equal windows of
 several items count for each; repeated documents are each reported; rows of equal id but other text are told apart by a
-hash of the text. An empty benchmark hits nothing; an empty table gives no rows.
+hash of the text. Of words equally rare in a window the first is joined. A very long text is one array of words in one row, never cut. Other
+columns may have any names. An empty benchmark hits nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_expr
+from .common import cut, named, words_expr
 
 #: Bytes of windows that are broadcast at once.
 BLOCK_BYTES = 32 << 20
@@ -31,7 +32,7 @@ BLOCK_BYTES = 32 << 20
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(words, items): the distinct windows, and the ids, as strings, of the items that have them."""
-    w = benchmark.select(F.col(id_col).cast("string").alias("item"), words_expr(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
+    w = benchmark.select(named(id_col).cast("string").alias("item"), words_expr(named(text_col)).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - F.lit(width - 1), F.lit(1)))
     w = w.select("item", "ws", F.explode(starts).alias("i")).select("item", F.slice("ws", F.col("i"), width).alias("words"))
     return w.groupBy("words").agg(F.collect_set("item").alias("items"))
@@ -46,7 +47,7 @@ def blocks(df: DataFrame, bytes_each: int, key: str) -> list[DataFrame]:
 
 def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text_key, n_words, start, stop, items): an occurrence each, and a row of null start for every document."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), words_expr(F.col(text_col)).alias("ws"))
+    d = docs.select(named(id_col).alias("doc_id"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("text_key"), words_expr(named(text_col)).alias("ws"))
     words = d.select(F.explode("ws").alias("word")).select(F.xxhash64("word").alias("k"))
     tokens = cut(windows.select(F.explode("words").alias("word")).distinct().select(F.xxhash64("word").alias("token")).distinct())
     parts = blocks(tokens, block_bytes, "token")

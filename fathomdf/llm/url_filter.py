@@ -3,15 +3,17 @@
 Rules come first: the longest rule that fits a url decides. For the other urls the method decides: every labelled page
 is an outcome, bad or good, of its host. A host's bad rate is shrunk through beta-binomial priors to that of its
 registered domain, that to its suffix, and that to all pages; the strength of each level's prior is fitted by moments to
-how much the rates of its members differ. A page is blocked when the lower bound of its host's posterior lies above the
-threshold, so a host without evidence of its own is judged by its domain, and one bad page never blocks a host.
+how much the rates of its members differ, and kept within STRENGTH outcomes, a documented parameter: moments give 0 or infinity where a
+level's members differ wholly or not at all. A page is blocked when the lower bound of its host's posterior, mean less z deviations of the
+beta distribution, lies above the threshold, so a host without evidence of its own is judged by its domain, and one bad page never blocks a host.
 
 Scale: outcomes are summed per host before anything else, so a hot host shrinks map-side to a row per task; the levels
 are sums of those rows. Pages meet their host's row in an equi-join that adaptive execution broadcasts when the host
 table is small and splits where a host is hot. Rules are a literal list, meant for up to some thousands.
 
-Defined results: a null url, or one without ://, has empty host and path, fits no rule and is judged at the root level;
-repeated rows are each judged; labels repeated for a page are summed; an empty table gives no rows.
+A host's sums are written once, and every level is made from them. Defined results: a null url, or one without ://, has empty host and path, fits no rule and is judged at the root level;
+repeated rows are each judged; labels repeated for a page are summed; of rules that fit, equally long ones go by host; a url of any
+length is read whole; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, cut, named
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -29,6 +31,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Least and most strength of a prior, in outcomes.
+STRENGTH = (1.0, 1000.0)
 #: Second-level labels under which names are registered one level deeper.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
@@ -68,13 +72,13 @@ def suffix_of(host: Column) -> Column:
 
 
 def _strength(children: DataFrame, name: str) -> DataFrame:
-    """One row: the prior's strength for members with (n, bad), by moments, between 1 and 1000 outcomes."""
+    """One row: the prior's strength for members with (n, bad), by moments, within STRENGTH."""
     t = children.agg(F.sum("n").cast("double").alias("N"), F.sum("bad").cast("double").alias("B"), F.sum(F.col("n").cast("double") * F.col("n")).alias("N2"), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("Q"), F.count("*").alias("C"))
     mean = F.col("B") / F.col("N")
     var = mean * (1 - mean)
     between = (F.col("Q") - F.col("N") * mean * mean - (F.col("C") - 1) * var) / F.nullif(F.col("N") - F.col("N2") / F.col("N"), F.lit(0.0))
-    k = F.when(between > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), var / between - 1))).otherwise(1000.0)
-    return t.select(F.coalesce(k, F.lit(1000.0)).alias(name))
+    k = F.when(between > 0, F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), var / between - 1))).otherwise(STRENGTH[1])
+    return t.select(F.coalesce(k, F.lit(STRENGTH[1])).alias(name))
 
 
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -99,13 +103,13 @@ def judge(pages: DataFrame, labels: DataFrame | None, id_col: str = "page_id", u
     labels has (label_id, label_col): a page's outcome is bad where label_col is 0, good where it is 1; other values and
     nulls are no outcome.
     """
-    p = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    p = pages.select(named(id_col).alias("page_id"), host_of(named(url_col)).alias("host"), path_of(named(url_col)).alias("path"))
     if labels is None:
         seen = p.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     else:
-        y = labels.select(F.col(label_id).alias("of"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").groupBy("of").agg(F.count("*").alias("n"), F.sum(1 - F.col("y")).alias("bad"))
+        y = labels.select(named(label_id).alias("of"), named(label_col).cast("int").alias("y")).where("y in (0, 1)").groupBy("of").agg(F.count("*").alias("n"), F.sum(1 - F.col("y")).alias("bad"))
         seen = p.join(y, p["page_id"] == y["of"], "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    rep = reputation(seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), z).withColumnRenamed("host", "of_host")
+    rep = reputation(cut(seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))), z).withColumnRenamed("host", "of_host")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = p.join(rep, p["host"] == rep["of_host"], "left")
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_low") > threshold, "block").otherwise("allow")).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_low", 6).alias("bad_low"))
