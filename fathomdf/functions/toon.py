@@ -56,19 +56,30 @@ def header(name: str, n: int, columns: list[str]) -> str:
     return f"{name}[{n}]{{{','.join(columns)}}}:"
 
 
+#: Rows that may be shown; larger results belong into a table.
+SHOWN = 100_000
+
+
+def _shown(df: DataFrame) -> list:
+    got = df.limit(SHOWN + 1).collect()
+    if len(got) > SHOWN:
+        raise ValueError(f"more than {SHOWN} rows to show")
+    return got
+
+
 def to_text(df: DataFrame, name: str, quoted: bool = False) -> str:
     """A result that is small enough to show, as text."""
-    lines = [r["line"] for r in rows(df, quoted).collect()]
+    lines = [r["line"] for r in _shown(rows(df, quoted))]
     return "\n".join([header(name, len(lines), df.columns), *lines])
 
 
 def to_json(df: DataFrame) -> str:
-    return "[" + ",".join(df.toJSON().collect()) + "]"
+    return "[" + ",".join(r["json"] for r in _shown(df.select(F.to_json(F.struct("*")).alias("json")))) + "]"
 
 
 def to_markdown(df: DataFrame) -> str:
     out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    for r in df.collect():
+    for r in _shown(df):
         out.append("| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |")
     return "\n".join(out)
 

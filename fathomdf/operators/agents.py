@@ -38,6 +38,34 @@ def settle(tasks: DataFrame, now: int, max_attempts: int, delay: int = 0) -> Dat
     return t.drop("__x", "__d")
 
 
+def nack(tasks: DataFrame, ids: list, now: int, max_attempts: int, delay: int = 0) -> DataFrame:
+    """Claimed tasks handed back: pending again after the delay, or dead_letter when their attempts are spent."""
+    hit = F.col("task_id").isin(ids) & (F.col("state") == "claimed")
+    dead = hit & (F.col("attempts") >= max_attempts)
+    return tasks.withColumns({"state": F.when(dead, "dead_letter").when(hit, "pending").otherwise(F.col("state")), "visible_at": F.when(hit & ~dead, F.lit(now + delay).cast("long")).otherwise(F.col("visible_at"))})
+
+
+def extend(tasks: DataFrame, ids: list, now: int, lease: int) -> DataFrame:
+    """Leases that still run and are renewed to now + lease."""
+    hit = F.col("task_id").isin(ids) & (F.col("state") == "claimed") & (F.col("lease_until") > now)
+    return tasks.withColumn("lease_until", F.when(hit, F.lit(now + lease).cast("long")).otherwise(F.col("lease_until")))
+
+
+def search(rows: DataFrame, needle: str, columns: list[str], order: list[Column], k: int, kind: str | None = None, kind_col: str = "kind") -> DataFrame:
+    """Episodes or entities of a kind that have the text in one of some columns, whatever its case: the first k in the order."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c)).contains(needle.lower()), F.lit(False))
+    rows = rows.where(F.col(kind_col) == kind) if kind is not None else rows
+    return rows.where(hit).orderBy(*order).limit(k)
+
+
+def facts(rows: DataFrame, entity: str, attribute: str, value: str, ts: str) -> DataFrame:
+    """(entity, attribute, value, ts): the latest known value of every attribute of every entity."""
+    best = F.max(F.struct(F.col(ts), F.col(value)))
+    return rows.groupBy(entity, attribute).agg(best.alias("m")).select(entity, attribute, F.col(f"m.{value}").alias(value), F.col(f"m.{ts}").alias(ts))
+
+
 def queue_stats(tasks: DataFrame, now: int) -> DataFrame:
     return tasks.groupBy("state").agg(F.count("*").alias("n"), F.count(F.when(F.col("visible_at") > now, 1)).alias("delayed"), F.max("attempts").alias("max_attempts"))
 
@@ -88,12 +116,15 @@ def triggers(scored: DataFrame, rules: DataFrame, top: int = 10) -> DataFrame:
     return hit.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("priority"), F.desc("score"), "trigger_id"))).select("event_id", "trigger_id", "score", "priority", "place")
 
 
-def compact(episodes: DataFrame, before, size: int = 10, by: list[str] | None = None, text: str = "text", ts: str = "ts") -> DataFrame:
-    """Summaries of old episodes: fixed-size runs in order of time, with first and last time, count and joined heads of texts."""
+def compact(episodes: DataFrame, before, size: int = 10, by: list[str] | None = None, text: str = "text", ts: str = "ts", head: int | None = None) -> DataFrame:
+    """Summaries of old episodes: fixed-size runs in order of time, with first and last time, count and joined texts (or their first `head` characters).
+
+    Runs of summaries are made the same way, with text="summary" and ts="first_ts".
+    """
     by = by or []
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(ts, *[c for c in episodes.columns if c not in (ts, text, *by)])
     g = episodes.where(F.col(ts) < before).withColumn("run", F.floor((F.row_number().over(w) - 1) / size))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(ts, F.substring(text, 1, 80).alias("t")))), lambda x: x["t"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(ts, (F.substring(text, 1, head) if head else F.col(text)).alias("t")))), lambda x: x["t"])
     return g.groupBy(*by, "run").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"), F.array_join(parts, " | ").alias("summary"))
 
 

@@ -76,15 +76,24 @@ def top(df: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     return df.orderBy(F.desc("score"), "id").limit(k)
 
 
-def hybrid(corpus: DataFrame, query_vector, query_text: str, k: int, where: Column | None = None, how: str = "rrf", weights: tuple[float, float] = (1.0, 1.0), id_col: str = "doc_id", vector: str = "embedding", text: str = "text", fetch: int = 100) -> DataFrame:
-    """The filter comes once, before both arms; then k-NN and BM25 with global statistics, fused."""
+def hybrid(corpus: DataFrame, query_vector, query_text: str, k: int, where: Column | None = None, how: str = "rrf", weights: tuple[float, float] | str = (1.0, 1.0), id_col: str = "doc_id", vector: str = "embedding", text: str = "text", fetch: int = 100, index=None, rerank=None) -> DataFrame:
+    """The filter comes once, before both arms; then k-NN and BM25 with global statistics, fused.
+
+    index: a lexical.Index to search instead of the texts; weights: two numbers or a name of WEIGHTS; rerank: a function from
+    (candidates with id and score, corpus) to (id, score) over the fused candidates.
+    """
     from . import lexical
     from .vector import knn
 
+    weights = WEIGHTS[weights] if isinstance(weights, str) else weights
     a = knn(corpus, query_vector, fetch, "cosine", id_col, vector, where=where).select(F.col(id_col).alias("id"), "score")
-    b = lexical.bm25(corpus, query_text, fetch, id_col, text, where=where).select(F.col(id_col).alias("id"), "score")
+    if index is None:
+        b = lexical.bm25(corpus, query_text, fetch, id_col, text, where=where)
+    else:
+        b = index.bm25(query_text, fetch, corpus.where(where).select(id_col) if where is not None else None)
+    b = b.select(F.col(id_col).alias("id"), "score")
     fused = {"rrf": lambda: rrf([a, b], weights), "linear": lambda: linear([a, b], weights), "max": lambda: greatest([a, b]), "cascade": lambda: cascade(a, b)}[how]()
-    return top(fused, k)
+    return top(rerank(top(fused, fetch), corpus) if rerank else fused, k)
 
 
 def cache_lookup(entries: DataFrame, query: str, query_vector, namespace: str, allowed_hash: int, now: int, threshold: float = 0.95) -> DataFrame:

@@ -19,7 +19,10 @@ MS = {"hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomdf-graph-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all machines share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="fathomdf-graph-"))
     return df.checkpoint()
 
 

@@ -84,6 +84,31 @@ def dd_quantile(sketch: DataFrame, p: float, alpha: float = 0.01, keys: tuple[st
     return hit.groupBy(*keys).agg(F.min_by("v", F.struct("side", F.col("side") * F.col("bucket"))).alias("value"))
 
 
+def dd_quantiles(sketch: DataFrame, ps: list[float], alpha: float = 0.01) -> DataFrame:
+    """(p, value): several quantiles read off one sketch, each within a relative error of alpha."""
+    from pyspark.sql.window import Window
+
+    gamma = (1 + alpha) / (1 - alpha)
+    place = F.struct("side", F.col("side") * F.col("bucket"))
+    s = sketch.withColumn("upto", F.sum("n").over(Window.orderBy(place))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))  # as many rows as buckets
+    s = s.withColumn("v", F.when(F.col("side") == 0, 0.0).otherwise(F.col("side") * 2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1)))
+    hit = s.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).where(F.col("upto") > F.col("p") * (F.col("all") - 1))
+    return hit.groupBy("p").agg(F.min_by("v", place).alias("value"))
+
+
+def cardinalities(df: DataFrame, columns: list[str], precision: int = 14) -> DataFrame:
+    """(column, rows, distinct): estimated distinct values of some columns, all in one pass."""
+    one = df.agg(F.count("*").alias("rows"), *[F.hll_sketch_estimate(hll(c, precision)).alias(c) for c in columns])
+    return one.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct")) for c in columns])).alias("x")).select("x.column", "rows", "x.distinct")
+
+
+def drift(before: DataFrame, now: DataFrame, most: float = 0.2) -> DataFrame:
+    """(column, change, drifted) between two results of cardinalities(): the relative change of the distinct values."""
+    b = before.select(F.col("column").alias("of"), F.col("distinct").alias("was"))
+    change = (F.col("distinct") - F.col("was")) / F.greatest("was", F.lit(1))
+    return now.join(b, F.col("column") == F.col("of")).select("column", change.alias("change"), (F.abs(change) > most).alias("drifted"))
+
+
 def exponential_histogram(df: DataFrame, col: str) -> DataFrame:
     """(bucket, low, high, n): powers of two; values of 0 or less in bucket null."""
     x = F.col(col).cast("double")

@@ -54,23 +54,100 @@ def delete(df: DataFrame, where: Column | str) -> DataFrame:
     return df.where(~F.coalesce(cond, F.lit(False)))
 
 
-def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
-    return df.unionByName(rows, allowMissingColumns=True)
+def insert(df: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """INSERT: columns that the rows lack get their default, else null."""
+    return df.unionByName(with_defaults(df, rows, defaults))
+
+
+def with_defaults(df: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The rows as they are inserted, which is what INSERT ... RETURNING gives."""
+    return rows.select(*[(F.col(c) if c in rows.columns else (defaults or {}).get(c, F.lit(None))).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+class Store:
+    """A table stored under a path in numbered versions, each written whole and complete when its _SUCCESS mark is there.
+
+    A change writes the next version beside the last, so readers see one or the other; old versions stay readable (snapshots)
+    until vacuum(). One writer at a time: there are no locks.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def versions(self) -> list[int]:
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        have = self.versions()
+        if not have or (version is not None and version not in have):
+            raise ValueError(f"no version {version if version is not None else ''} of {self.path}")
+        return self.spark.read.parquet(f"{self.path}/v{have[-1] if version is None else version}")
+
+    def write(self, df: DataFrame) -> int:
+        """CREATE, or the next version; its number."""
+        n = (self.versions() or [0])[-1] + 1
+        df.write.parquet(f"{self.path}/v{n}")
+        return n
+
+    def insert(self, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+        """Adds the rows; returns them as inserted."""
+        now = self.read()
+        added = with_defaults(now, rows, defaults)
+        self.write(now.unionByName(added))
+        return added
+
+    def update(self, where: Column | str, **values: Column | str) -> int:
+        return self.write(update(self.read(), where, **values))
+
+    def delete(self, where: Column | str) -> int:
+        return self.write(delete(self.read(), where))
+
+    def upsert(self, rows: DataFrame, keys: list[str], action: str = "update") -> int:
+        return self.write(upsert(self.read(), rows, keys, action))
+
+    def rollback(self, version: int) -> int:
+        """The table as of a version, as the newest one."""
+        return self.write(self.read(version))
+
+    def vacuum(self, keep: int = 1) -> None:
+        fs, path = self._fs()
+        for n in self.versions()[:-keep]:
+            fs.delete(path(f"{self.path}/v{n}"), True)
+
+    def drop(self) -> None:
+        fs, path = self._fs()
+        fs.delete(path(self.path), True)
+
+
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the greatest of those that share a key; a key with a null in it equals no other, so such rows all stay."""
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return latest(rows.where(whole), keys, next((c for c in rows.columns if c not in keys), keys[0])).unionByName(rows.where(~whole)) if set(rows.columns) - set(keys) else rows.where(whole).distinct().unionByName(rows.where(~whole))
 
 
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str], action: str = "update", columns: list[str] | None = None) -> DataFrame:
-    """ON CONFLICT: 'nothing' keeps the old row, 'replace' takes the new one whole, 'update' takes the named columns."""
+    """ON CONFLICT: 'nothing' keeps the old row, 'replace' takes the new one whole, 'update' takes the named columns.
+
+    A null key conflicts with nothing: the old row stays as it is, the new one is added. Of new rows that share a key the greatest counts.
+    """
     match = lambda a, b: reduce(and_, [a[k] == b[k] for k in keys])
-    new, old = rows.alias("n"), df.alias("o")
-    on = reduce(and_, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys])
+    rows = one_per_key(rows, keys)
     if action == "nothing":
         return df.unionByName(rows.join(df, match(rows, df), "left_anti").select(df.columns))
     if action == "replace":
         return df.join(rows, match(df, rows), "left_anti").unionByName(rows.select(df.columns))
     take = set(columns or [c for c in df.columns if c not in keys])
-    both = old.join(new, on, "full")
-    is_new = F.col(f"o.{keys[0]}").isNull()
-    hit = F.col(f"n.{keys[0]}").isNotNull()
+    old, new = df.select(F.struct("*").alias("o")), rows.select(F.struct("*").alias("n"))
+    both = old.join(new, reduce(and_, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]), "full")
+    is_new, hit = F.col("o").isNull(), F.col("n").isNotNull()
     return both.select(*[F.when(is_new, F.col(f"n.{c}")).when(hit & F.lit(c in take), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in df.columns])
 
 
@@ -95,11 +172,19 @@ def dialect(sql: str) -> str:
 
 def run_sql(spark: SparkSession, sql: str, args: list | dict | None = None, **frames: DataFrame) -> DataFrame:
     """SQL with ?, :name or $n placeholders ($n from 1, each may recur) over the session's tables and the given frames."""
-    order = [int(n) for n in re.findall(r"\$(\d+)", sql)]
+    order: list[int] = []
+
+    def place(m: re.Match) -> str:
+        if m[1] is None:  # a literal, a quoted name or a comment
+            return m[0]
+        order.append(int(m[1]))
+        return "?"
+
+    marked = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\$(\d+)", place, sql, flags=re.S)
     if order:
         if not isinstance(args, list) or max(order) > len(args):
             raise ValueError(f"placeholder ${max(order)} has no value")
-        sql, args = re.sub(r"\$\d+", "?", sql), [args[n - 1] for n in order]
+        sql, args = marked, [args[n - 1] for n in order]
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql, args=args) if args else spark.sql(sql)

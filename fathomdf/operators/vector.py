@@ -1,7 +1,7 @@
 """Vector search: metrics as columns, exact and filtered k-NN, batches, inverted lists, quantisation, recall.
 
-A query vector is a literal, so scoring is one code-generated expression over the scan and a top-k keeps k rows per task.
-Batches join the queries in blocks of stated size. Vectors are compared in double precision.
+A query vector is a literal, scored by array functions over the scan, and a top-k keeps k rows per task. Batches join the queries in
+blocks of stated size. Vectors are compared in double precision.
 """
 
 from __future__ import annotations
@@ -28,11 +28,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_literal(a: Column, q: Sequence[float]) -> Column:
-    """Inner product with a constant, unrolled so that it stays inside generated code."""
-    return reduce(lambda s, x: s + x, [F.get(a, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(q)], F.lit(0.0))
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -189,22 +184,62 @@ def dequantise(s: Column) -> Column:
     return F.transform(s["q"], lambda x: x.cast("double") * s["scale"])
 
 
+#: Most rows that centres are fitted on.
+SAMPLE = 20_000
+
+
+def sampled(df: DataFrame, vector: str):
+    """At most about SAMPLE vectors, by a hash of the vector, as a matrix."""
+    import numpy as np
+
+    n = df.count()
+    some = df if n <= SAMPLE else df.where(F.pmod(F.xxhash64(vector), F.lit(1 << 40)) < int(SAMPLE / n * (1 << 40)))
+    got = some.select(doubles(F.col(vector)).alias("v")).where("v is not null").toArrow()["v"].combine_chunks()
+    return got.flatten().to_numpy().reshape(len(got), -1) if len(got) else np.zeros((0, 0))
+
+
+def centres_of(x, k: int, seed: int, rounds: int = 12):
+    """k-means centres of the rows of a matrix, from seeded rows that lie far apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = x[np.lexsort(x.T)]  # the same whatever order the rows came in
+    picked = [int(rng.integers(len(x)))]
+    near = ((x - x[picked[0]]) ** 2).sum(1)
+    while len(picked) < min(k, len(x)):
+        total = near.sum()
+        picked.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+        near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(1))
+    c = x[picked]
+    for _ in range(rounds):
+        at = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]).argmin(1)
+        n = np.bincount(at, minlength=len(c))
+        new = np.stack([np.bincount(at, col, len(c)) for col in x.T], 1)
+        c = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+    return c
+
+
 class Inverted:
     """Inverted lists: k-means centres fitted on a bounded sample, every row filed under its nearest, probing the nearest n."""
 
-    SAMPLE = 20_000
-
     def __init__(self, df: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql import types as T
 
+        ship(df.sparkSession)
         self.id_col, self.vector = id_col, vector
-        n = df.count()
-        some = df if n <= self.SAMPLE else df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(self.SAMPLE / n * (1 << 20)))
-        model = KMeans(k=lists, seed=seed, featuresCol="f").fit(some.select(array_to_vector(doubles(F.col(vector))).alias("f")))
-        self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        self.model = model
-        self.filed = model.transform(df.withColumn("f", array_to_vector(doubles(F.col(vector))))).withColumnRenamed("prediction", "list").drop("f")
+        c = centres_of(sampled(df, vector), lists, seed)
+        self.centres = [[float(x) for x in r] for r in c]
+        at = df.columns.index(vector)
+
+        def file(batches):
+            for b in batches:
+                x = np.array(b.column(at).to_pylist(), float)
+                near = ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1) if len(x) else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=[*b.schema.names, "list"])
+
+        self.filed = df.mapInArrow(file, T.StructType([*df.schema.fields, T.StructField("list", T.IntegerType())]))
 
     def search(self, query: Sequence[float], k: int, probes: int = 4, metric: str = "cosine") -> DataFrame:
         near = sorted(range(len(self.centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centres[i], query, strict=True)))[:probes]
@@ -229,28 +264,31 @@ def rerank(candidates: DataFrame, query: Sequence[float], k: int, metric: str =
 
 
 class ProductQuantiser:
-    """Product quantisation: k-means per slice of the vector, codes of one byte a slice, distances from tables."""
+    """Product quantisation: k-means per slice of the vector on a bounded sample, codes of one byte a slice, distances from tables."""
 
     def __init__(self, df: DataFrame, slices: int = 8, codes: int = 16, vector: str = "embedding", seed: int = 3):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
         self.vector, self.slices = vector, slices
-        first = df.select(F.size(vector).alias("n")).first()
-        self.width = first["n"] // slices
-        self.books = []
-        for s in range(slices):
-            part = df.select(array_to_vector(F.slice(doubles(F.col(vector)), s * self.width + 1, self.width)).alias("f"))
-            self.books.append([[float(x) for x in c] for c in KMeans(k=codes, seed=seed, featuresCol="f", maxIter=8).fit(part).clusterCenters()])
+        x = sampled(df, vector)
+        self.width = x.shape[1] // slices
+        self.books = [[[float(v) for v in c] for c in centres_of(x[:, s * self.width : (s + 1) * self.width], codes, seed)] for s in range(slices)]
 
     def encode(self, df: DataFrame, out: str = "code") -> DataFrame:
-        v = doubles(F.col(self.vector))
-        cols = []
-        for s, book in enumerate(self.books):
-            part = F.slice(v, s * self.width + 1, self.width)
-            d = F.array(*[F.struct(l2_squared(part, literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(book)])
-            cols.append(F.array_min(d)["i"])
-        return df.withColumn(out, F.array(*cols))
+        """df with the nearest code of every slice."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql import types as T
+
+        ship(df.sparkSession)
+        at, width, books = df.columns.index(self.vector), self.width, [np.array(b) for b in self.books]
+
+        def run(batches):
+            for b in batches:
+                x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
+                near = [((c * c).sum(1)[None] - 2 * x[:, s * width : (s + 1) * width] @ c.T).argmin(1) for s, c in enumerate(books)]
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(books)), pa.array(np.stack(near, 1).astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, codes], names=[*b.schema.names, out])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
     def decode(self, code: Column) -> Column:
         return F.flatten(F.array(*[F.element_at(F.array(*[literal(c) for c in book]), F.get(code, F.lit(s)) + 1) for s, book in enumerate(self.books)]))

@@ -13,7 +13,7 @@ from fathomdf.functions import calc as calc_
 from fathomdf.functions import tokens, toon
 from fathomdf.operators import agents, filters, fusion, graph, lexical, sketches, tables, vector
 from fathomdf.plans import compact_query
-from fathomdf.sources.catalog import register, table
+from fathomdf.sources.catalog import index_of, register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,9 +47,9 @@ D = lambda y, m, d: dt.datetime(y, m, d)
 # ---------------------------------------------------------------- scans, projections, predicates
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 30")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_quantity > 30")
 def scan_filter_project(spark, d):
-    return table(spark, d, "lineitem").where((F.col("l_shipdate") < F.lit(D(1995, 1, 1))) & (F.col("l_quantity") > 30)).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return table(spark, d, "lineitem").where((F.col("l_shipdate") >= F.lit(D(2001, 1, 1))) & (F.col("l_quantity") > 30)).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN ('Brand#12', 'Brand#23', 'Brand#34') AND p_name LIKE '%a%'")
@@ -122,12 +122,12 @@ def mvcc_visible_latest(spark, d):
 @query("SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20 AND p_retailprice < 1500 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def compact_select(spark, d):
     register(spark, d, ("part",))
-    return compact_query.run(spark, "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20 AND p_retailprice < 1500").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+    return compact_query.run(spark, "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20 AND p_retailprice < 1500 ORDER BY p_retailprice DESC LIMIT 20")
 
 
 spark_sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(get_json_object(props, '$.k') AS BIGINT) > 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
 spark_sql("array_ops", "SELECT vec_id, element_at(embedding, 1) AS first, size(embedding) AS n, array_contains(array(1, 3, 5), label) AS odd FROM embeddings", "SELECT vec_id, embedding[1] AS first, len(embedding) AS n, list_contains([1, 3, 5], label) AS odd FROM embeddings")
-spark_sql("cast_ops", "SELECT o_orderkey, CAST(o_totalprice AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(o_orderkey AS STRING) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey AS VARCHAR) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice = floor(o_totalprice) OR o_orderkey < 50")
+spark_sql("cast_ops", "SELECT o_orderkey, CAST(o_totalprice AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(o_orderkey AS STRING) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS p, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey AS VARCHAR) AS k, try_cast(o_orderpriority AS INT) AS nope FROM orders")
 spark_sql("bit_ops", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, o_orderkey ^ 5 AS x, shiftleft(o_orderkey, 2) AS l, shiftright(o_orderkey, 1) AS r FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, xor(o_orderkey, 5) AS x, o_orderkey << 2 AS l, o_orderkey >> 1 AS r FROM orders")
 
 # ---------------------------------------------------------------- joins, subqueries
@@ -139,16 +139,16 @@ spark_sql("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionke
 spark_sql("join_cross_filter", "SELECT r.r_name, n.n_name FROM region r, nation n WHERE r.r_regionkey < n.n_regionkey")
 spark_sql("join_multi", "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
 spark_sql("semi_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-spark_sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-spark_sql("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)")
+spark_sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+spark_sql("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)")
 spark_sql("correlated_subquery", "SELECT p.p_partkey, p.p_retailprice FROM part p WHERE p.p_retailprice >= (SELECT max(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 spark_sql("cte_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE t > 300000) SELECT c_mktsegment, count(*) AS n, round(sum(t), 2) AS total FROM b JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 spark_sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
 
 
-@query("SELECT vec_id, embedding[1] AS x, c_name FROM embeddings JOIN customer ON c_custkey = label WHERE label > 0")
+@query("SELECT vec_id, embedding[1] AS x, c_name FROM embeddings JOIN customer ON c_custkey = label")
 def reference_resolve(spark, d):
-    e = table(spark, d, "embeddings").where("label > 0").select("vec_id", F.element_at("embedding", 1).alias("x"), F.struct(F.lit("customer").alias("table"), F.col("label").cast("long").alias("id")).alias("ref"))
+    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).alias("x"), F.struct(F.lit("customer").alias("table"), F.col("label").cast("long").alias("id")).alias("ref"))
     c = table(spark, d, "customer")
     return e.join(c, e["ref.id"] == c["c_custkey"]).select("vec_id", "x", "c_name")
 
@@ -186,7 +186,7 @@ spark_sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s
 spark_sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 spark_sql("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
 spark_sql("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
-spark_sql("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+spark_sql("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 spark_sql("window_rank", "SELECT event_id, user_id, row_number() OVER w AS rn, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dr FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 spark_sql("window_frame_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s3, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS run FROM events")
 spark_sql("window_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS near FROM orders")
@@ -208,10 +208,10 @@ def topk_per_group(spark, d):
 # ---------------------------------------------------------------- changing tables
 
 
-@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal * 1.1, 2) ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT (c_acctbal < -500)")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal + 100, 2) ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT (CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal + 100, 2) ELSE c_acctbal END < -500)")
 def update_delete(spark, d):
-    t = tables.update(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_mktsegment = 'BUILDING'", c_acctbal="round(c_acctbal * 1.1, 2)")
-    return tables.delete(t, F.col("c_custkey").isin([])).join(table(spark, d, "customer").where("c_acctbal < -500").select("c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_acctbal")
+    t = tables.update(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_mktsegment = 'BUILDING'", c_acctbal="round(c_acctbal + 100, 2)")
+    return tables.delete(t, "c_acctbal < -500").select("c_custkey", "c_acctbal")
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey > 20 UNION ALL SELECT s_suppkey, upper(s_name), 0.0 FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT s_suppkey + 100000, s_name, s_acctbal FROM supplier WHERE s_suppkey <= 5")
@@ -312,33 +312,33 @@ def _bm25_sql(terms: list[str], where: str = "true", every: bool = False, k: int
 
 @query(_bm25_sql(["the", "erer", "onst", "the"]))
 def bm25_or(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), "the erer onst the")
+    return index_of(spark, d).bm25("the erer onst the")
 
 
 @query(_bm25_sql(["the", "thon", "of"], every=True))
 def bm25_and(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), "the thon of", all_terms=True)
+    return index_of(spark, d).bm25("the thon of", all_terms=True)
 
 
 @query(_bm25_sql(["de", "la"], "lang = 'fr'"))
 def bm25_filtered_lang(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), "de la", where=F.col("lang") == "fr")
+    return index_of(spark, d).bm25("de la", allowed=table(spark, d, "documents").where("lang = 'fr'").select("doc_id"))
 
 
 @query(f"WITH b AS (SELECT doc_id, {_WS} AS ws FROM documents), t AS (SELECT doc_id, len(ws) AS dl, list_contains(ws, 'of') AS h0, list_contains(ws, 'the') AS h1, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the')) AS tf FROM b), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avg, least(count(*) FILTER (WHERE h0), count(*) FILTER (WHERE h1)) AS df FROM t) SELECT doc_id, tf, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)), 6) AS score FROM t, s WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def phrase(spark, d):
-    return lexical.phrase(table(spark, d, "documents"), "of the")
+    return index_of(spark, d).phrase("of the")
 
 
-@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY term, doc_id) GROUP BY term HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WS}) AS term FROM documents) GROUP BY term, doc_id) GROUP BY term")
 def inverted_index(spark, d):
-    return lexical.index(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index_of(spark, d).terms()
 
 
 def arms(spark, d) -> list[DataFrame]:
     """A vector arm and a lexical arm over ids paired by number."""
     a = vector.knn(table(spark, d, "embeddings"), query_vector(spark, d), 50).select(F.col("vec_id").alias("id"), "score")
-    return [a, lexical.bm25(table(spark, d, "documents"), "the of and", 50).select(F.col("doc_id").alias("id"), "score")]
+    return [a, index_of(spark, d).bm25("the of and", 50).select(F.col("doc_id").alias("id"), "score")]
 
 
 _ARMS = f"a AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {Q7}), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 50), b AS (SELECT doc_id AS id, score FROM {_bm25_sql(['the', 'of', 'and'], k=50)}), ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM a), rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM b), na AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM a), nb AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM b)"
@@ -419,7 +419,7 @@ def temporal(spark, d) -> DataFrame:
     return e.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("src", "type").orderBy("valid_from", "dst")))
 
 
-_TEMPORAL = "t AS (SELECT user_id AS src, event_id AS dst, event_type AS type, epoch_ms(ts) AS valid_from, lead(epoch_ms(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS valid_to FROM events)"
+_TEMPORAL = "t AS (SELECT user_id AS src, event_id AS dst, event_type AS type, epoch_us(ts) // 1000 AS valid_from, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS valid_to FROM events)"
 
 
 @query(f"WITH {_TEMPORAL} SELECT src, dst, type FROM t WHERE valid_from <= 1705276800000 AND (valid_to IS NULL OR 1705276800000 < valid_to)")
@@ -476,10 +476,10 @@ def rate_limit(spark, d):
     return agents.rate_limited(table(spark, d, "events"), "user_id", "ts", "1 day", 2, "event_id").select("event_id", "user_id", "nth")
 
 
-@query("WITH s AS (SELECT event_id, label AS trigger_id, round(value / (1 + label), 6) AS score FROM events, (SELECT DISTINCT label FROM embeddings WHERE label < 5)), r AS (SELECT label AS trigger_id, label <> 2 AS enabled, 5.0 * label + 8 AS threshold, 10 - label AS priority FROM (SELECT DISTINCT label FROM embeddings WHERE label < 5)), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, trigger_id) AS rn FROM s) SELECT event_id, trigger_id, row_number() OVER (PARTITION BY event_id ORDER BY priority DESC, score DESC, trigger_id) AS place FROM b JOIN r USING (trigger_id) WHERE rn <= 3 AND enabled AND score >= threshold")
+@query("WITH s AS (SELECT event_id, label AS trigger_id, round(value / (1 + label), 6) AS score FROM events, (SELECT DISTINCT label FROM embeddings)), r AS (SELECT label AS trigger_id, label <> 2 AS enabled, 5.0 * label + 8 AS threshold, 10 - label AS priority FROM (SELECT DISTINCT label FROM embeddings)), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, trigger_id) AS rn FROM s) SELECT event_id, trigger_id, row_number() OVER (PARTITION BY event_id ORDER BY priority DESC, score DESC, trigger_id) AS place FROM b JOIN r USING (trigger_id) WHERE rn <= 3 AND enabled AND score >= threshold")
 def semantic_triggers(spark, d):
-    labels = table(spark, d, "embeddings").where("label < 5").select("label").distinct()
-    s = table(spark, d, "events").withColumn("label", F.explode(F.array(*[F.lit(i) for i in range(5)]))).join(labels, "label").select("event_id", F.col("label").alias("trigger_id"), F.round(F.col("value") / (1 + F.col("label")), 6).alias("score"))
+    labels = table(spark, d, "embeddings").select("label").distinct()
+    s = table(spark, d, "events").withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(labels, "label").select("event_id", F.col("label").alias("trigger_id"), F.round(F.col("value") / (1 + F.col("label")), 6).alias("score"))
     r = labels.select(F.col("label").alias("trigger_id"), (F.col("label") != 2).alias("enabled"), (5.0 * F.col("label") + 8).alias("threshold"), (10 - F.col("label")).alias("priority"))
     return agents.triggers(s, r, 3).select("event_id", "trigger_id", "place")
 
@@ -561,13 +561,13 @@ def hll_merged(spark, d):
     return li.agg(F.countDistinct("l_partkey").alias("exact")).join(m).select("exact", (F.abs(F.col("e") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
 
 
-@query("SELECT p, true AS within FROM (SELECT unnest([0.5, 0.9, 0.99]) AS p)")
+@query("SELECT p, true AS within FROM (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS p)")
 def quantile_bound(spark, d):
-    li = table(spark, d, "lineitem")
-    s = sketches.dd_sketch(li, "l_extendedprice")
-    exact = li.agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(f"p{i}") for i, p in enumerate((0.5, 0.9, 0.99))])
-    parts = [sketches.dd_quantile(s, p).join(exact).select(F.lit(p).cast("decimal(3,2)").cast("double").alias("p"), (F.abs(F.col("value") / F.col(f"p{i}") - 1) <= 0.02).alias("within")) for i, p in enumerate((0.5, 0.9, 0.99))]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Estimates of one sketch against the ranks of the rows around them, counted in one pass."""
+    li = table(spark, d, "lineitem").select("l_extendedprice")
+    q = sketches.dd_quantiles(sketches.dd_sketch(li, "l_extendedprice"), [0.5, 0.9, 0.99])
+    g = li.join(F.broadcast(q)).groupBy("p").agg(F.count("*").alias("n"), F.count(F.when(F.col("l_extendedprice") < 0.98 * F.col("value"), 1)).alias("below"), F.count(F.when(F.col("l_extendedprice") <= 1.02 * F.col("value"), 1)).alias("upto"))  # three rows
+    return g.select("p", ((F.col("below") <= F.col("p") * (F.col("n") - 1) + 1) & (F.col("upto") >= F.col("p") * (F.col("n") - 1))).alias("within"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
@@ -581,7 +581,7 @@ def count_min_bound(spark, d):
     s = sketches.count_min_table(e, "user_id")
     exact = e.groupBy("user_id").agg(F.count("*").alias("n"))
     est = sketches.count_min_estimate(s, exact, "user_id")
-    return exact.join(est, "user_id").select("user_id", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + 0.001 * 3 * 1_000_000)).alias("bounded"))
+    return exact.join(est, "user_id").join(exact.agg(F.sum("n").alias("total"))).select("user_id", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + 0.001 * F.col("total"))).alias("bounded"))
 
 
 @query("SELECT CASE WHEN value > 0 THEN floor(log2(value))::BIGINT END AS bucket, count(*) AS n FROM events GROUP BY 1")
@@ -589,7 +589,230 @@ def exponential_histogram(spark, d):
     return sketches.exponential_histogram(table(spark, d, "events"), "value").select("bucket", "n")
 
 
-@query("SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) <= 128) GROUP BY user_id")
+@query()
 def adaptive_sketch(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.round(sketches.adaptive_quantile("value", 0.5), 6).alias("median"))
     return g.select("user_id", "median")
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 370")
+def secondary_index_seek(spark, d):
+    return filters.Filter(((filters.Atom("eq", "o_custkey", 370),),)).apply(table(spark, d, "orders")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size::VARCHAR || '%' AS s FROM part) WHERE s LIKE '1_!%' ESCAPE '!'")
+def like_escape(spark, d):
+    table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("%")).alias("s")).createOrReplaceTempView("sized_parts")
+    return compact_query.run(spark, "SELECT p_partkey FROM sized_parts WHERE s LIKE '1_!%' ESCAPE '!'")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE (p_size BETWEEN 3 AND 6 OR p_brand = 'Brand#12') AND NOT p_type IS NULL AND p_name NOT IN ('a and b', 'c or d') ORDER BY p_size, p_partkey LIMIT 40")
+def compact_where(spark, d):
+    register(spark, d, ("part",))
+    return compact_query.run(spark, "SELECT p_partkey, p_size FROM part WHERE (p_size BETWEEN 3 AND 6 OR p_brand = 'Brand#12') AND NOT p_type IS NULL AND p_name NOT IN ('a and b', 'c or d') ORDER BY p_size LIMIT 40")
+
+
+@query(f"SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], {Q7}), 6) AS score FROM embeddings WHERE label < 5 ORDER BY score DESC, vec_id LIMIT 8")
+def vector_search_text(spark, d):
+    register(spark, d, ("embeddings",))
+    return compact_query.run(spark, f"SELECT vec_id, label, VECTOR_SEARCH(embedding, {query_vector(spark, d)}, 8, cosine) FROM embeddings WHERE label < 5")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, 'unnamed' FROM nation WHERE n_regionkey = 1")
+def insert_with_defaults(spark, d):
+    new = table(spark, d, "nation").where("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("r_regionkey"))
+    return tables.insert(table(spark, d, "region"), new, {"r_name": F.lit("unnamed")})
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey > 7 UNION ALL SELECT 100000, 'new', NULL")
+def stored_table(spark, d):
+    """CREATE, DELETE and INSERT of a stored table, each a version of its own; read back as of the last."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="fathomdf-store-")
+    import uuid
+
+    t = tables.Store(spark, f"{base}/store-{uuid.uuid4().hex}")
+    t.write(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    t.delete("s_suppkey <= 7")
+    t.insert(spark.range(100000, 100001).select(F.col("id").alias("s_suppkey"), F.lit("new").alias("s_name")))
+    return t.read()
+
+
+@query("SELECT 'not_null:o_custkey' AS rule, count(*) FILTER (WHERE o_custkey IS NULL) AS n FROM orders UNION ALL SELECT 'unique:o_custkey', (count(*) - count(DISTINCT o_custkey))::BIGINT FROM orders UNION ALL SELECT 'check:price', count(*) FILTER (WHERE NOT (o_totalprice > 5000)) FROM orders UNION ALL SELECT 'foreign:o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def constraints(spark, d):
+    from fathomdf.sources.catalog import violations
+
+    return violations(table(spark, d, "orders"), ("o_custkey",), ("o_custkey",), {"price": "o_totalprice > 5000"}, {"o_custkey": (table(spark, d, "customer").where("c_acctbal > 0"), "c_custkey")})
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name AS title, 7::BIGINT AS rank FROM region")
+def schema_evolution(spark, d):
+    from fathomdf.sources.catalog import evolve
+
+    return evolve(table(spark, d, "region"), ("add", "rank", "int", 7), ("rename", "r_name", "title"), ("cast", "r_regionkey", "int"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / n)), 6) AS s, round(embedding[1]::DOUBLE / n, 6) AS first FROM (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
+def normalised_vectors(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", vector.normalise(vector.doubles(F.col("embedding"))).alias("v"))
+    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("s"), F.round(F.element_at("v", 1), 6).alias("first"))
+
+
+@query("SELECT 10 AS k, true AS enough")
+def inverted_lists_recall(spark, d):
+    """Recall of 16 lists, 14 probed, against the exact nearest, for one query."""
+    e, q = table(spark, d, "embeddings"), query_vector(spark, d)
+    found, exact = vector.Inverted(e, 16).search(q, 10, 14), vector.knn(e, q, 10)
+    return spark.createDataFrame([(10, vector.recall(found, exact, ["vec_id"]) >= 0.9)], "k int, enough boolean")
+
+
+@query("SELECT 10 AS k, true AS enough")
+def product_quantiser_recall(spark, d):
+    """A coarse stage over codes of one byte a slice, then exact scores for its two hundred best."""
+    e, q = table(spark, d, "embeddings"), query_vector(spark, d)
+    pq = vector.ProductQuantiser(e, 16, 32)
+    coarse = pq.encode(e).withColumn("far", pq.distance(F.col("code"), q)).orderBy("far", "vec_id").limit(200)
+    found, exact = vector.rerank(coarse, q, 10), vector.knn(e, q, 10)
+    return spark.createDataFrame([(10, vector.recall(found, exact, ["vec_id"]) >= 0.9)], "k int, enough boolean")
+
+
+@query(f"WITH c AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang = 'en'), a AS (SELECT doc_id AS id, round(list_cosine_similarity(e, {Q7}), 6) AS score FROM c ORDER BY score DESC, id LIMIT 100), b AS (SELECT doc_id AS id, score FROM {_bm25_sql(['the', 'erer'], 'doc_id IN (SELECT doc_id FROM c)', k=100)}), ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM a), rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM b) SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + r) AS s FROM ra UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) FROM rb) GROUP BY id ORDER BY score DESC, id LIMIT 12")
+def hybrid(spark, d):
+    e = table(spark, d, "embeddings")
+    corpus = table(spark, d, "documents").select("doc_id", "lang").join(e.select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
+    return fusion.hybrid(corpus, query_vector(spark, d), "the erer", 12, where=F.col("lang") == "en", index=index_of(spark, d))
+
+
+@query(f"SELECT query, round(score, 6) AS score FROM (SELECT 'q' || vec_id AS query, list_cosine_similarity(embedding::DOUBLE[], {Q7}) AS score FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 7) AND vec_id <> 7 AND vec_id * 10 > 1000) WHERE score >= 0.1 ORDER BY score DESC, query LIMIT 1")
+def semantic_cache(spark, d):
+    e = table(spark, d, "embeddings")
+    label = e.where("vec_id = 7").first()["label"]
+    entries = e.where("vec_id <> 7").select(F.concat(F.lit("q"), "vec_id").alias("query"), "embedding", F.col("label").cast("string").alias("namespace"), F.lit(1).cast("long").alias("allowed_hash"), (F.col("vec_id") * 10).alias("expires_at"))
+    hit = fusion.cache_lookup(entries, "no such text", query_vector(spark, d), str(label), 1, 1000, 0.1)
+    return hit.select("query", F.round("score", 6).alias("score"))
+
+
+@query("SELECT s_suppkey AS agent_id FROM supplier WHERE s_suppkey % 3 = 0 AND s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 1")
+def agent_route(spark, d):
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("agent_id"), F.array(F.concat(F.lit("c"), (F.col("s_suppkey") % 3).cast("string"))).alias("capabilities"), (F.col("s_acctbal") > 0).alias("available"), F.col("s_acctbal").alias("load"))
+    return agents.route(a, "c0", "least_loaded").select("agent_id")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(ceil(strlen(text) / 4.0)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS running FROM conversations) WHERE running <= 200")
+def memory_context(spark, d):
+    return agents.newest_within(table(spark, d, "conversations"), 200, tokens.text_tokens(F.col("text")), [F.desc("turn")], ["conv_id"]).select("conv_id", "turn")
+
+
+@query("SELECT user_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS r FROM events) WHERE r = 1")
+def known_facts(spark, d):
+    return agents.facts(table(spark, d, "events"), "user_id", "event_type", "value", "ts")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND lower(c_name) LIKE '%#0000001%' ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
+def entity_search(spark, d):
+    c = table(spark, d, "customer")
+    return agents.search(c, "#0000001", ["c_name"], [F.desc("c_acctbal"), F.asc("c_custkey")], 15, "BUILDING", "c_mktsegment").select("c_custkey", "c_name")
+
+
+@query("WITH l AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS run, ts FROM events WHERE ts < TIMESTAMP '2024-01-20'), g AS (SELECT user_id, run, min(ts) AS first_ts FROM l GROUP BY user_id, run), h AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY first_ts, run) - 1) // 3 AS run2 FROM g) SELECT user_id, run2 AS run, count(*) AS n FROM h GROUP BY user_id, run2")
+def memory_compaction_twice(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("text"))
+    one = agents.compact(e, F.lit(D(2024, 1, 20)), 10, ["user_id"]).select("user_id", F.col("run").alias("level1"), "first_ts", "summary")
+    return agents.compact(one, F.lit(D(2024, 1, 20)), 3, ["user_id"], "summary", "first_ts").select("user_id", "run", "n")
+
+
+@query(f"WITH {_TASKS} SELECT task_id, CASE WHEN task_id IN (1, 2, 3, 4, 5, 6, 7) AND state = 'claimed' THEN CASE WHEN attempts >= 3 THEN 'dead_letter' ELSE 'pending' END ELSE state END AS state, CASE WHEN task_id IN (1, 2, 3, 4, 5, 6, 7) AND state = 'claimed' AND attempts < 3 THEN 800000060 ELSE visible_at END AS visible_at FROM q")
+def queue_nack(spark, d):
+    return agents.nack(tasks(spark, d), [1, 2, 3, 4, 5, 6, 7], 800000000, 3, 60).select("task_id", "state", "visible_at")
+
+
+@query(f"WITH {_TASKS} SELECT task_id, CASE WHEN task_id <= 40 AND state = 'claimed' AND lease_until > 800000000 THEN 800000300 ELSE lease_until END AS lease_until FROM q")
+def queue_extend(spark, d):
+    return agents.extend(tasks(spark, d), list(range(1, 41)), 800000000, 300).select("task_id", "lease_until")
+
+
+@query(f"WITH {_TEMPORAL} SELECT dst, valid_from, valid_to FROM t WHERE src = 5 AND type = 'click'")
+def edge_history(spark, d):
+    return graph.history(temporal(spark, d), 5, None, "click").select("dst", "valid_from", "valid_to")
+
+
+@query(f"WITH {_TEMPORAL} SELECT src, dst, type FROM t WHERE src = 5 AND valid_from <= 1705276800000 AND (valid_to IS NULL OR 1705276800000 < valid_to)")
+def subgraph_at_time(spark, d):
+    return graph.subgraph_at(temporal(spark, d), 5, 1705276800000, 1)[1].select("src", "dst", "type")
+
+
+for _size, _ms in (("day", 86_400_000), ("week", 604_800_000)):
+
+    def _bucketed(spark, d, size=_size):
+        return table(spark, d, "events").groupBy(graph.bucket(F.unix_millis(F.col("ts").cast("timestamp")), size).alias("bucket"), "event_type").agg(F.count("*").alias("n"))
+
+    _bucketed.__name__ = f"time_bucket_{_size}"
+    query(f"SELECT epoch_ms(ts) // {_ms} AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")(_bucketed)
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, run")
+def session_windows(spark, d):
+    e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    return e.select("user_id", F.col("session_window.start").alias("started"), "n")
+
+
+@query("SELECT epoch(w)::BIGINT AS started, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) q, LATERAL (SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS w) GROUP BY 1, 2")
+def sliding_windows(spark, d):
+    e = table(spark, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return e.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("started"), "event_type", "n")
+
+
+@query("SELECT count(*) AS rows, (sum(3 + ceil(length(n_nationkey::VARCHAR) / 4.0) + ceil(strlen(n_name) / 4.0 * 1.1) + ceil(length(n_regionkey::VARCHAR) / 4.0)) + ceil((6 + 4 + 12 + 7 + 12) / 4.0))::BIGINT AS tokens FROM nation")
+def table_token_estimate(spark, d):
+    return tokens.table_tokens(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation")
+
+
+@query("SELECT conv_id, turn, substr(text, 1, 40) AS text FROM conversations")
+def truncated_texts(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", tokens.truncate(F.col("text"), 10).alias("text"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'user' ORDER BY turn DESC, conv_id DESC, role DESC, text DESC LIMIT 9")
+def context_last(spark, d):
+    from fathomdf.plans import context
+
+    table(spark, d, "conversations").createOrReplaceTempView("conversations")
+    a = context.Assembler(spark)
+    return a.frame(context.parse("CONTEXT SELECT p SECTIONS (X: LAST 9 FROM conversations WHERE role = 'user')").parts[0]).select("conv_id", "turn", "role")
+
+
+@query(_bm25_sql(["the", "erer"], k=6))
+def context_search(spark, d):
+    from fathomdf.plans import context
+
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    a = context.Assembler(spark)
+    return a.frame(context.parse("CONTEXT SELECT p SECTIONS (X: SEARCH documents BY TEXT 'the erer' TOP 6)").parts[0]).select("doc_id", "score")
+
+
+@query("SELECT * FROM (VALUES ('NOTE', 0), ('FACTS', 1)) AS t(section, place)")
+def context_budget(spark, d):
+    """The sections that a budget of forty tokens leaves of three."""
+    from fathomdf.plans import context
+
+    register(spark, d, ("region", "nation"))
+    _, used = context.Assembler(spark).run("CONTEXT SELECT p WITH (token_limit = 40) SECTIONS (NOTE PRIORITY 0: 'be brief', FACTS PRIORITY 1: SELECT r_name FROM region ORDER BY r_regionkey, ALL PRIORITY 2: SELECT n_name FROM nation)")
+    kept = [n for n, t in used.items() if t > 0 and n != "ALL"]
+    return spark.createDataFrame([(n, i) for i, n in enumerate(kept)], "section string, place int")
+
+
+@query("SELECT 'o_custkey' AS \"column\", true AS near, false AS drifted UNION ALL SELECT 'o_orderstatus', true, false")
+def cardinality_drift(spark, d):
+    o = table(spark, d, "orders")
+    c = sketches.cardinalities(o, ["o_custkey", "o_orderstatus"])
+    exact = o.agg(F.countDistinct("o_custkey").alias("a"), F.countDistinct("o_orderstatus").alias("b"))
+    same = sketches.drift(sketches.cardinalities(o.where("o_totalprice > 20000"), ["o_custkey", "o_orderstatus"]), c).select(F.col("column").alias("of"), "drifted")
+    n = F.when(F.col("column") == "o_custkey", F.col("a")).otherwise(F.col("b"))
+    return c.join(F.broadcast(exact)).join(same, F.col("column") == F.col("of")).select("column", (F.abs(F.col("distinct") - n) <= F.greatest(F.lit(2), 0.03 * n)).alias("near"), "drifted")

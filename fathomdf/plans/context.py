@@ -140,7 +140,9 @@ class Assembler:
         q = parse(sql)
         budget, how = int(q.options["token_limit"]), str(q.options["truncation"]).replace("_", "").lower()
         texts = {p.name: self.text(p, str(q.options["format"]).lower()) for p in q.parts}
-        est = {n: math.ceil(len(t.encode()) / 4) for n, t in texts.items()}
+        heads = {p.name: f"## {p.name}\n" if q.options["include_headers"] else "" for p in q.parts}
+        # a section costs its header, its text and the blank line after it
+        est = {n: math.ceil(len((heads[n] + t).encode()) / 4 + 0.5) for n, t in texts.items()}
         if how == "fail" and sum(est.values()) > budget:
             raise ValueError(f"{sum(est.values())} tokens exceed the budget of {budget}")
         parts = [tokens.Section(p.name, est[p.name], est[p.name] if how == "fail" else max(min(est[p.name], 100), est[p.name] // 10), p.priority) for p in q.parts]
@@ -152,11 +154,13 @@ class Assembler:
             n = share[p.name]
             if n <= 0:
                 continue
-            raw = texts[p.name].encode()
-            if len(raw) > n * 4:
-                raw = raw[-n * 4 :] if how == "headdrop" else raw[: n * 4]
-            body = raw.decode("utf-8", "ignore")
-            out.append(f"## {p.name}\n{body}" if q.options["include_headers"] else body)
+            raw, room = texts[p.name].encode(), n * 4 - 2 - len(heads[p.name].encode())
+            if room <= 0:
+                share[p.name] = 0
+                continue
+            if len(raw) > room:
+                raw = raw[-room:] if how == "headdrop" else raw[:room]
+            out.append(heads[p.name] + raw.decode("utf-8", "ignore"))
         return "\n\n".join(out), share
 
 

@@ -30,6 +30,36 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id", text_col: str = "text"):
+    """The stored inverted index of a table, built at first use under the shared checkpoint folder (or a folder of this machine where
+    all runs in one process) and found again as long as the table's files are the same: by name, length and time."""
+    import tempfile
+    import uuid
+
+    from fathomdf.operators.lexical import Index
+
+    df, sc = table(spark, sf_dir, name), spark.sparkContext
+    state = []
+    for f in sorted(df.inputFiles()):
+        at = sc._jvm.org.apache.hadoop.fs.Path(f)
+        s = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+        state.append((f, s.getLen(), s.getModificationTime()))
+    key = (sc.applicationId, name, id_col, text_col, tuple(state))
+    if key not in _INDEXES:
+        base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all machines share")
+            base = tempfile.mkdtemp(prefix="fathomdf-index-")
+        path = f"{base}/index-{uuid.uuid4().hex}"
+        Index.build(df, path, id_col, text_col)
+        _INDEXES[key] = path
+    return Index(spark, _INDEXES[key], id_col)
+
+
 def parse_type(text: str) -> tuple[T.DataType, bool]:
     """A declared type as (Spark type, nullable): int, uint, float, text, binary, decimal(p,s), vector(d), ref(t), array(t), t?."""
     t = text.strip().lower()

@@ -302,3 +302,63 @@ def test_virtual_table(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = virtual.scan(spark, virtual.source("numbers", lambda options: Numbers()))
     assert df.count() == 30 and df.where("n > 25").agg(F.sum("sq")).first()[0] == 26**2 + 27**2 + 28**2 + 29**2
+
+
+def test_upsert_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([(None, "keep me"), (1, "old"), (2, "two")], "k int, v string")
+    new = spark.createDataFrame([(None, "added"), (1, "a"), (1, "b"), (3, "c"), (3, "d")], "k int, v string")
+    rows = lambda df: sorted(((r.k, r.v) for r in df.collect()), key=str)
+    nulls = [(None, "keep me"), (None, "added")]
+    assert rows(tables.upsert(old, new, ["k"], "update")) == sorted([*nulls, (1, "b"), (2, "two"), (3, "d")], key=str)
+    assert rows(tables.upsert(old, new, ["k"], "replace")) == sorted([*nulls, (1, "b"), (2, "two"), (3, "d")], key=str)
+    assert rows(tables.upsert(old, new, ["k"], "nothing")) == sorted([*nulls, (1, "old"), (2, "two"), (3, "d")], key=str)
+    odd = old.toDF("n", "o")
+    assert tables.upsert(odd, new.toDF("n", "o"), ["n"], "update").where("n = 1").first().o == "b"
+
+
+def test_placeholders_outside_literals(spark):
+    r = tables.run_sql(spark, "SELECT '$1' AS a, $2 AS b, \"it's $1\" AS c, $1 AS d -- $9", [7, 8]).first()
+    assert tuple(r) == ("$1", 8, "it's $1", 7)
+
+
+def test_stored_versions(spark, tmp_path):
+    t = tables.Store(spark, f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        t.read()
+    assert t.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")) == 1
+    added = t.insert(spark.createDataFrame([(3,)], "k int"), {"v": F.lit("new")})
+    assert [tuple(r) for r in added.collect()] == [(3, "new")]
+    t.update("k = 1", v="'A'")
+    t.delete("k = 2")
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "A"), (3, "new")] and t.read(1).count() == 2
+    assert t.rollback(1) == 5 and sorted(r.k for r in t.read().collect()) == [1, 2] and t.versions() == [1, 2, 3, 4, 5]
+    t.vacuum(2)
+    assert t.versions() == [4, 5]
+    t.drop()
+    assert t.versions() == []
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "The dog sat"), (3, ""), (4, None), (5, "a cat a cat the cat"), (6, "on the mat the cat")], "doc_id long, text string")
+    ix = lexical.Index.build(docs, f"{tmp_path}/ix")
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    whole = docs.fillna("")
+    for q in ("cat", "the cat", "the the dog", "zebra cat"):
+        assert rows(ix.bm25(q)) == rows(lexical.bm25(whole, q)), q
+        assert rows(ix.bm25(q, all_terms=True)) == rows(lexical.bm25(whole, q, all_terms=True)), q
+    for q in ("the cat", "a cat", "cat a cat", "the zebra"):
+        assert rows(ix.phrase(q)) == rows(lexical.phrase(whole, q)), q
+    few = docs.where("doc_id in (1, 5)").select("doc_id")
+    assert rows(ix.bm25("the cat", allowed=few)) == rows(lexical.bm25(whole, "the cat", where=F.col("doc_id").isin(1, 5)))
+    assert rows(ix.bm25("", k=3)) == [] and len(rows(ix.bm25("cat", preset="short"))) == 3
+
+
+def test_queue_and_memory(spark):
+    t = spark.createDataFrame([(1, "claimed", 0, 50, 1), (2, "claimed", 0, 500, 3), (3, "pending", 0, 0, 0)], "task_id int, state string, visible_at long, lease_until long, attempts int")
+    assert {(r.task_id, r.state, r.visible_at) for r in agents.nack(t, [1, 2, 3], 100, 3, 9).collect()} == {(1, "pending", 109), (2, "dead_letter", 0), (3, "pending", 0)}
+    assert {(r.task_id, r.lease_until) for r in agents.extend(t, [1, 2, 3], 100, 7).collect()} == {(1, 50), (2, 107), (3, 0)}
+    long = spark.createDataFrame([(i, "x" * 200) for i in range(4)], "ts int, text string")
+    one = agents.compact(long, 10, 2)
+    assert {len(r.summary) for r in one.collect()} == {403}  # whole texts, not their beginnings
+    a, b = (sketches.cardinalities(spark.range(n).selectExpr("id % 7 AS a", "id AS b"), ["a", "b"]) for n in (1000, 2000))
+    assert {r.column: r.drifted for r in sketches.drift(a, b).collect()} == {"a": False, "b": True}
