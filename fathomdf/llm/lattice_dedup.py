@@ -176,8 +176,8 @@ def lattice_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     filed = cut(reps.select("id", "salt", "e").mapInArrow(keys, "id bigint, keys array<bigint>, payload binary"))
     asked = filed.select("id", F.posexplode("keys").alias("p", "key")).groupBy("key", "id").agg(F.max(F.col("p") % (1 + probes) == 0).alias("home"))
-    load = filed.join(reps.select(F.col("id").alias("of"), "weight"), F.col("id") == F.col("of")).select("id", "weight", "payload")
-    links = cut(linked(asked, load, cosine(threshold)).withColumnRenamed("id", "of"))
+    load = cut(filed.join(reps.select(F.col("id").alias("of"), "weight"), F.col("id") == F.col("of")).select("id", "weight", "payload"))
+    links = cut(linked(cut(asked), load, cosine(threshold)).withColumnRenamed("id", "of"))
     cls = reps.select("id", "name_a", "name_b", "rep", "weight").join(links, F.col("id") == F.col("of"), "left")
     cls = cut(cls.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "rep", F.coalesce("component", "id").alias("c")))
     least = small(cls.groupBy(F.col("c").alias("of")).agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), 24)

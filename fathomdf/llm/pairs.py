@@ -121,14 +121,12 @@ def bucket_table(buckets: DataFrame) -> DataFrame:
 
 
 def linked(buckets: DataFrame, load: DataFrame, similar: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """buckets: (key, id, home), load: (id, weight, payload) -> (id, links, component) for ids that have links.
+    """buckets: (key, id, home), load: (id, weight, payload), both written -> (id, links, component) for ids that have links.
 
     ids are bigint and occur once in load and once in a bucket; component is the least id reached. A pair is a candidate
     where the two share a bucket and one of them is at home there.
     """
-    buckets = cut(buckets)
-    shared = cut(bucket_table(buckets))
-    k = small(shared, 40)
+    k = small(cut(bucket_table(buckets)), 40)
     inside = cut(buckets.join(k, buckets["key"] == k["k"]).select("key", "id", "home", "pivot", "homes"))
     star = inside.where("id != pivot").select(F.col("pivot").alias("grp"), "id").distinct().withColumn("other", F.lit(False))
     star = cut(star.unionByName(star.select("grp", F.col("grp").alias("id"), F.lit(True).alias("other")).distinct()))
@@ -139,10 +137,13 @@ def linked(buckets: DataFrame, load: DataFrame, similar: Callable[[list, list],
     p = c.select(F.col("x").alias("px"), F.col("c").alias("pc"))
     rows = inside.where("id != pivot").join(c, F.col("id") == F.col("x"), "left").join(p, F.col("pivot") == F.col("px"), "left")
     rows = cut(rows.select("key", "id", "home", "homes", (F.coalesce("c", "id") != F.coalesce("pc", "pivot")).alias("out")))
-    left = small(cut(rows.groupBy(F.col("key").alias("k"), F.col("homes").alias("h")).agg(F.count(F.when(F.col("out"), 1)).alias("outs"), F.count("*").alias("n")).where("outs > 0 and n > 1")), 40)
-    rest = rows.join(left, rows["key"] == left["k"]).select(F.col("key").alias("grp"), "id", F.when(F.col("h") <= F.col("outs"), F.col("home")).otherwise(F.col("out")).alias("other"))
-    more = verified(cut(rest), load, similar)
-    if not more.isEmpty():
+    left = cut(rows.groupBy(F.col("key").alias("k"), F.col("homes").alias("h")).agg(F.count(F.when(F.col("out"), 1)).alias("outs"), F.count("*").alias("n")).where("outs > 0 and n > 1"))
+    more = None
+    if not left.isEmpty():
+        few = small(left, 40)
+        rest = rows.join(few, rows["key"] == few["k"]).select(F.col("key").alias("grp"), "id", F.when(F.col("h") <= F.col("outs"), F.col("home")).otherwise(F.col("out")).alias("other"))
+        more = verified(cut(rest), load, similar)
+    if more is not None and not more.isEmpty():
         of = cut(components(of.select(F.col("node").alias("id"), F.col("component").alias("low")).unionByName(more.select("id", "low")), "id", "low"))
     groups = cut(of.select(F.col("component").alias("grp"), F.col("node").alias("id"), F.lit(True).alias("other")))
     links = verified(groups, load, similar).groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "of")
