@@ -132,12 +132,15 @@ class Build:
 
 @dataclass(frozen=True)
 class Scope:
-    """What a caller may see; always joined by AND to the caller's own filter."""
+    """What a caller may see; always joined by AND to the caller's own filter. A scope that names nothing shows nothing, unless
+    it is said to show everything.
+    """
 
     namespaces: tuple[str, ...] = ()
     tenant: str | None = None
     project: str | None = None
     tags: tuple[str, ...] = ()
+    everything: bool = False
 
     def filter(self) -> Filter:
         b = Build()
@@ -151,6 +154,8 @@ class Scope:
         return b.filter
 
     def apply(self, df: DataFrame, user: Filter | None = None) -> DataFrame:
+        if not (self.everything or self.namespaces or self.tags or self.tenant is not None or self.project is not None):
+            return df.where(F.lit(False))
         return self.filter().both(user or Filter()).apply(df)
 
 

@@ -31,13 +31,17 @@ def distinct(df: DataFrame, ts: str, late: str, keys: list[str]) -> DataFrame:
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, per: int, seconds: int) -> DataFrame:
+def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, per: int, seconds: int, idle: int = 86_400) -> DataFrame:
     """Events within the first `per` of their key and fixed window of `seconds`, by keyed state: the open window and its
-    count. Events of a batch are taken in order of time, ties by id; those of a window already left are late and dropped.
+    count. Events of a batch are taken in order of time, ties by id; those of a window already left are late and dropped. The
+    state of a key that was idle for `idle` seconds of processing time expires.
     """
     out = f"{key} {df.schema[key].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, {ts} timestamp"
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         window, count = state.get if state.exists else (-1, 0)
         rows = pd.concat(list(pdfs)).sort_values([ts, id_col])
         keep = []
@@ -49,10 +53,11 @@ def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, per: int, seconds:
             count += w == window
             keep.append(ok)
         state.update((window, count))
+        state.setTimeoutDuration(idle * 1000)
         got = rows[keep]
         yield pd.DataFrame({key: [k[0]] * len(got), id_col: got[id_col].to_numpy(), ts: got[ts].to_numpy()})
 
-    return df.select(key, id_col, ts).groupBy(key).applyInPandasWithState(step, out, "win long, n long", "append", GroupStateTimeout.NoTimeout)
+    return df.select(key, id_col, ts).groupBy(key).applyInPandasWithState(step, out, "win long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def to_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
