@@ -12,10 +12,40 @@ from pyspark.sql.window import Window
 
 #: bytes per token
 PRESETS = {"default": 4.0, "tight": 3.8, "loose": 4.2, "dense": 3.5}
+#: Runs of ASCII letters, up to three digits, and every other character that is no white space.
+PIECE = r"[A-Za-z]+|[0-9]{1,3}|[^ \t\n\r\fA-Za-z0-9]"
 
 
-def text_tokens(text: Column, bytes_per_token: float = 4.0) -> Column:
-    return F.ceil(F.octet_length(text) / F.lit(bytes_per_token)).cast("long")
+def text_tokens(text: Column, bytes_per_token: float | str = 4.0) -> Column:
+    """Bytes by bytes per token, a number or a name of PRESETS."""
+    per = PRESETS[bytes_per_token] if isinstance(bytes_per_token, str) else bytes_per_token
+    return F.ceil(F.octet_length(text) / F.lit(per)).cast("long")
+
+
+def piece_tokens(text: Column) -> Column:
+    """A heuristic count: pieces as a tokenizer would cut them before it merges."""
+    return F.regexp_count(text, F.lit(PIECE)).cast("long")
+
+
+def exact_tokens(df: DataFrame, path: str, text_col: str, out: str = "tokens") -> DataFrame:
+    """df with the exact count by a vocabulary file of the tokenizers library, which has to be at the same place on every machine."""
+    import pyarrow as pa
+
+    from fathomdf.session import ship
+
+    ship(df.sparkSession)
+    at, loaded = df.columns.index(text_col), {}
+
+    def run(batches):
+        import tokenizers
+
+        if path not in loaded:
+            loaded[path] = tokenizers.Tokenizer.from_file(path)
+        for b in batches:
+            got = loaded[path].encode_batch([t or "" for t in b.column(at).to_pylist()], add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(g.ids) for g in got], pa.int64())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def value_tokens(df: DataFrame, name: str) -> Column:

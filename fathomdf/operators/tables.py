@@ -54,6 +54,11 @@ def delete(df: DataFrame, where: Column | str) -> DataFrame:
     return df.where(~F.coalesce(cond, F.lit(False)))
 
 
+def unexpired(df: DataFrame, now: Column | int, expires: str = "expires_at") -> DataFrame:
+    """Rows whose time to live has not run out; without one they live for ever."""
+    return df.where(F.col(expires).isNull() | (F.col(expires) > now))
+
+
 def insert(df: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """INSERT: columns that the rows lack get their default, else null."""
     return df.unionByName(with_defaults(df, rows, defaults))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from fathomdf.functions import calc as calc_
 from fathomdf.functions import tokens, toon
 from fathomdf.operators import agents, filters, fusion, graph, lexical, sketches, tables, vector
-from fathomdf.plans import compact_query
+from fathomdf.plans import compact_query, path_query
 from fathomdf.sources.catalog import index_of, register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -816,3 +816,40 @@ def cardinality_drift(spark, d):
     same = sketches.drift(sketches.cardinalities(o.where("o_totalprice > 20000"), ["o_custkey", "o_orderstatus"]), c).select(F.col("column").alias("of"), "drifted")
     n = F.when(F.col("column") == "o_custkey", F.col("a")).otherwise(F.col("b"))
     return c.join(F.broadcast(exact)).join(same, F.col("column") == F.col("of")).select("column", (F.abs(F.col("distinct") - n) <= F.greatest(F.lit(2), 0.03 * n)).alias("near"), "drifted")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000 ORDER BY o_totalprice DESC LIMIT 20 OFFSET 2")
+def path_door(spark, d):
+    register(spark, d, ("orders",))
+    q = path_query.PathQuery(spark, "orders").where("eq", "o_orderstatus", "O").where("gt", "o_totalprice", 400000)
+    return q.order("o_totalprice", desc=True).limit(20, 2).project("o_orderkey", "o_totalprice").rows()
+
+
+@query("WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \n]'), lambda x: x <> '') AS ws FROM conversations) SELECT conv_id, turn, pos::INT AS pos, array_to_string(ws[pos + 1:pos + 20], ' ') AS words FROM w, unnest(range(0, greatest(len(ws) - 10, 1), 10)) AS r(pos) WHERE len(ws) > 0")
+def table_function(spark, d):
+    from fathomdf.functions import table_functions
+
+    table_functions.register(spark)
+    register(spark, d, ("conversations",))
+    return spark.sql("SELECT conv_id, turn, pos, words FROM conversations, LATERAL windows(text, 20, 10)")
+
+
+@query(f"SELECT conv_id, turn, len(regexp_extract_all(text, '{tokens.PIECE}'))::BIGINT AS n FROM conversations")
+def piece_count(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", tokens.piece_tokens(F.col("text")).alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 = 0 OR epoch(ts)::BIGINT + 86400 * (event_id % 5) > 1705276800")
+def ttl_live(spark, d):
+    e = table(spark, d, "events").withColumn("expires_at", F.when(F.col("event_id") % 5 != 0, F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * (F.col("event_id") % 5)))
+    return tables.unexpired(e, 1705276800).select("event_id")
+
+
+@query("SELECT n_nationkey || ' is ' || n_name AS line FROM nation WHERE n_regionkey = 2")
+def context_template(spark, d):
+    from fathomdf.plans import context
+
+    register(spark, d, ("nation",))
+    a = context.Assembler(spark)
+    p = context.parse("CONTEXT SELECT p SECTIONS (X: SELECT * FROM nation WHERE n_regionkey = 2 THEN PROJECT (n_nationkey, n_name) THEN TEMPLATE '{n_nationkey} is {n_name}')").parts[0]
+    return spark.createDataFrame([(x,) for x in a.text(p, "toon").split("\n")], "line string")

@@ -10,6 +10,9 @@
         HELLO PRIORITY 5: $greeting
     );
 
+A section that gives rows may be changed on its way, in any number of steps: THEN PROJECT (a, b), THEN TEMPLATE '{a} said {b}' (a line for
+each row), THEN SUMMARIZE 3 (the first rows, or what the assembler's `summarise` function makes of the section's text).
+
 Sections run as Spark queries with limits of their own; only their lines, bounded by the budget, reach the driver.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +99,8 @@ def path_get(tree: dict, path: str):
 class Assembler:
     """Runs context queries over the session's tables, given variables, a state tree and tool tables."""
 
-    def __init__(self, spark: SparkSession, state: dict | None = None, variables: dict | None = None, tools: DataFrame | None = None, calls: DataFrame | None = None, order_by: str | None = None):
+    def __init__(self, spark: SparkSession, state: dict | None = None, variables: dict | None = None, tools: DataFrame | None = None, calls: DataFrame | None = None, order_by: str | None = None, summarise: Callable[[str, int], str] | None = None):
+        self.summarise = summarise
         self.spark, self.state, self.variables, self.tools, self.calls, self.order_by = spark, state or {}, variables or {}, tools, calls, order_by
 
     def frame(self, p: Part) -> DataFrame | str:
@@ -130,10 +135,29 @@ class Assembler:
         return hit.join(df.select(F.col(id_col).alias("__id"), "text"), F.col(id_col) == F.col("__id")).select(id_col, "score", "text").orderBy(F.desc("score"), id_col)
 
     def text(self, p: Part, fmt: str) -> str:
-        f = self.frame(p)
+        body, *steps = re.split(r"\s+THEN\s+(?=(?:PROJECT|TEMPLATE|SUMMARIZE)\b)", p.body, flags=re.I)
+        f = self.frame(Part(p.name, p.priority, p.kind, body))
+        for step in steps:
+            f = self.change(f, step.strip(), fmt, p.name)
+        return self.shown(f, p.name, fmt)
+
+    def change(self, f: DataFrame | str, step: str, fmt: str, name: str) -> DataFrame | str:
+        """One transform of a section."""
+        if (m := re.fullmatch(r"PROJECT\s*\(([^)]*)\)", step, re.I)) and not isinstance(f, str):
+            return f.select(*[c.strip() for c in m[1].split(",")])
+        if (m := re.fullmatch(r"TEMPLATE\s+'((?:[^']|'')*)'", step, re.I | re.S)) and not isinstance(f, str):
+            out = [F.lit(x) if i % 2 == 0 else F.coalesce(F.col(x).cast("string"), F.lit("")) for i, x in enumerate(re.split(r"\{(\w+)\}", m[1].replace("''", "'")))]
+            return "\n".join(r["line"] for r in f.select(F.concat(*out).alias("line")).limit(toon.SHOWN).collect())
+        if m := re.fullmatch(r"SUMMARIZE\s+(\d+)", step, re.I):
+            if self.summarise is not None:
+                return self.summarise(self.shown(f, name, fmt), int(m[1]))
+            return "\n".join(f.split("\n")[: int(m[1])]) if isinstance(f, str) else f.limit(int(m[1]))
+        raise ValueError(f"not a transform of this section: {step}")
+
+    def shown(self, f: DataFrame | str, name: str, fmt: str) -> str:
         if isinstance(f, str):
             return f
-        return {"toon": lambda: toon.to_text(f, p.name.lower()), "json": lambda: toon.to_json(f), "markdown": lambda: toon.to_markdown(f)}[fmt]()
+        return {"toon": lambda: toon.to_text(f, name.lower()), "json": lambda: toon.to_json(f), "markdown": lambda: toon.to_markdown(f)}[fmt]()
 
     def run(self, sql: str) -> tuple[str, dict[str, int]]:
         """The assembled text, and the tokens each section took."""

@@ -66,6 +66,28 @@ def test_compact_query(spark, talk):
             compact_query.run(spark, bad)
 
 
+def test_context_transforms(spark, talk):
+    a = context.Assembler(spark, summarise=lambda text, n: f"{n}:{len(text)}")
+    run = lambda body, a=a: a.text(context.parse(f"CONTEXT SELECT p SECTIONS (X: {body})").parts[0], "toon")
+    rows = "SELECT turn, text FROM talk WHERE turn < 2 ORDER BY turn"
+    assert run(f"{rows} THEN PROJECT (turn)") == "x[2]{turn}:\n0\n1"
+    assert run(f"{rows} THEN TEMPLATE 'it''s {{turn}}, {{text}}'") == "it's 0, message number 0\nit's 1, message number 1"
+    assert run("'one\ntwo' THEN SUMMARIZE 1").startswith("1:")
+    assert run(f"{rows} THEN SUMMARIZE 1 THEN PROJECT (turn)", context.Assembler(spark)) == "x[1]{turn}:\n0"
+    with pytest.raises(ValueError):
+        run("'words' THEN PROJECT (a)")
+
+
+def test_path_query(spark):
+    from fathomdf.plans.path_query import PathQuery
+
+    spark.createDataFrame([(1, ("x", 5)), (2, ("y", 7)), (3, ("z", 9))], "id int, place struct<name: string, floor: int>").createOrReplaceTempView("rooms")
+    q = PathQuery(spark, "rooms")
+    assert [tuple(r) for r in q.into("place").where("ge", "floor", 7).order("floor", desc=True).rows().collect()] == [("z", 9), ("y", 7)]
+    assert [r[0] for r in q.into("place").into("name").order("name").limit(1, 1).rows().collect()] == ["y"]
+    assert [r.id for r in q.where("lt", "id", 3).where("ne", "id", 1).project("id").rows().collect()] == [2] and q.atoms == ()
+
+
 def test_compact_query_quotes(spark, talk):
     spark.createDataFrame([(1, "salt and pepper", [1.0, 0.0]), (2, "this or that", [0.9, 0.1]), (3, "it's", [0.0, 1.0])], "id int, v string, embedding array<double>").createOrReplaceTempView("quoted")
     run = lambda q: [tuple(r) for r in compact_query.run(spark, q).collect()]
@@ -100,7 +122,7 @@ def test_stream_matches_batch(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["scan_filter_project", "filter_ir", "join_multi", "asof_latest", "overlap_join", "window_groups_frame", "knn_batch", "bm25_or", "cascade", "bfs_depth", "metrics_view", "compact_where", "constraints", "stored_table", "hybrid", "semantic_cache", "context_search", "quantile_bound", "session_windows", "cardinality_drift", "inverted_lists_recall"])
+@pytest.mark.parametrize("name", ["scan_filter_project", "filter_ir", "join_multi", "asof_latest", "overlap_join", "window_groups_frame", "knn_batch", "bm25_or", "cascade", "bfs_depth", "metrics_view", "compact_where", "constraints", "stored_table", "hybrid", "semantic_cache", "context_search", "quantile_bound", "session_windows", "cardinality_drift", "inverted_lists_recall", "path_door", "table_function", "piece_count", "ttl_live", "context_template"])
 def test_catalogue(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
