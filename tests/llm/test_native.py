@@ -167,6 +167,49 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
 
 
+def test_pipeline_by_hand(spark, tmp_path):
+    """run() against the five stages in plain code."""
+    from test_dedup import join_by_hand
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    stems = {"en": ["the", "and", "tion", "ing", "was"], "fr": ["que", "ment", "éle", "eau", "les"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    docs = [(i, text(lang, rng.randint(30, 120)), lang, f"s{rng.randint(0, 2)}") for i in range(50) for lang in [("en", "fr")[i % 2]]]
+    docs += [(100 + i, docs[i][1] + " " + text(docs[i][2], 1), docs[i][2], "s0") for i in range(8)] + [(120 + i, docs[9][1], docs[9][2], "s1") for i in range(4)]
+    shared, items = text("en", 60), [(1, text("en", 14)), (2, text("fr", 6))]
+    docs += [(200 + i, text("en", 40 + 9 * i) + " " + shared + " " + text("en", 30), "en", "s2") for i in range(4)]
+    docs += [(220, text("en", 30) + " " + items[0][1], "en", "s1"), (221, items[1][1] + ", " + text("fr", 40), "fr", "s0"), (230, "12 34", "en", "s1"), (231, None, None, None)]
+    spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = sorted((i, t, s) for i, t, _, s in docs if any(c.isalpha() for c in t or ""))
+    least = {d: c for d, _, _, c in join_by_hand([(i, t) for i, t, _ in rows])}
+    rows = [r for r in rows if least[r[0]] == r[0]]
+    seen, cut = set(), []
+    for i, t, s in rows:
+        b, gone = t.encode(), set()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone |= set(range(k, k + 100))
+            seen.add(b[k : k + 100])
+        cut.append((i, bytes(x for k, x in enumerate(b) if k not in gone).decode("utf-8", "ignore"), s))
+    assert sum(len(a[1]) > len(b[1]) for a, b in zip(rows, cut, strict=True)) >= 3
+    leaks = {r[0] for r in by_hand([(i, t) for i, t, _ in cut], items) if r[5]}
+    rows = [r for r in cut if r[1] and r[0] not in leaks]
+    assert leaks == {220, 221}
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    names = sorted({s for _, _, s in rows})
+    totals = [sum(size(t) for _, t, s in rows if s == n) for n in names]
+    want = Counter()
+    for name, total, target in zip(names, totals, fill(totals, (3, 1, 2), 1.5, 2.0), strict=True):
+        shift, rate = int(hashlib.md5(f"17:s{name}".encode()).hexdigest()[:8], 16) / 2**32, target / total
+        for rank, (_, i, t) in enumerate(sorted((size(t), i, t) for i, t, s in rows if s == name), 1):
+            want[i, t] += int(shift + rate * rank) - int(shift + rate * (rank - 1))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == +want and all(r.n_chars == len(r.text) for r in got)
+
+
 CLASHES = ["did", "again", "d", "k", "starts", "text_key", "spans", "kept", "n_bytes", "a.b", "row", "key", "group", "of", "id", "n", "m", "gone", "x y`z", "size", "copies", "f0", "word", "token", "items", "lang_pred", "held_out"]
 
 
