@@ -38,7 +38,8 @@ def count_min_estimate(sketch: DataFrame, keys: DataFrame, col: str, eps: float
     width, depth = math.ceil(math.e / eps), math.ceil(math.log(1 / delta))
     cells = F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.col(col), F.lit(seed * 1000 + i)), F.lit(width)).alias("cell")) for i in range(depth)])
     k = keys.select(col, F.explode(cells).alias("c")).select(col, F.col("c.row").alias("r"), F.col("c.cell").alias("x"))
-    j = k.join(F.broadcast(sketch), (F.col("r") == F.col("row")) & (F.col("x") == F.col("cell")), "left")
+    fits = width * depth * 24 <= 32 << 20  # bytes of the whole sketch; beyond the bound it is joined by a shuffle
+    j = k.join(F.broadcast(sketch) if fits else sketch, (F.col("r") == F.col("row")) & (F.col("x") == F.col("cell")), "left")
     return j.groupBy(col).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
