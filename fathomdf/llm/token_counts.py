@@ -71,7 +71,10 @@ class Counter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.tokens = {a + b for a, b in self.ranks} | {bytes([b]) for b in range(256)}
-        self.longest = max(map(len, self.tokens))
+        self.reach: dict[bytes, int] = {}  # the length of the longest token that ends in these three bytes
+        for t in self.tokens:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.specials = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pattern = regex.compile(PATTERN)
@@ -117,14 +120,21 @@ class Counter:
 
     def table(self, word: bytes) -> list[int]:
         """Token count of every byte prefix of one word, from 0 on."""
-        n, tokens, longest = len(word), self.tokens, self.longest
+        n, tokens, reach, beside = len(word), self.tokens, self.reach, self.beside
         last, count = [b""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for size in range(min(i, longest), 0, -1):
+            for size in range(min(i, reach.get(word[i - 3 : i], 2) if i > 2 else 2), 0, -1):
                 t = word[i - size : i]
-                if t in tokens and (self.alone(t) if size == i else self.stay(last[i - size], t)):
-                    last[i], count[i] = t, count[i - size] + 1
-                    break
+                if t in tokens:
+                    if size == i:
+                        fits = self.alone(t)
+                    else:
+                        fits = beside.get((last[i - size], t))
+                        if fits is None:
+                            fits = self.stay(last[i - size], t)
+                    if fits:
+                        last[i], count[i] = t, count[i - size] + 1
+                        break
         return count
 
     def word(self, w: str) -> int:
@@ -169,25 +179,25 @@ class Counter:
 
     def book(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each word's table lies in self.flat, its length, and its last count; words not seen before are added."""
-        try:
-            at = [self.index[w] for w in words]
-        except KeyError:
-            if len(self.index) >= CACHE or self.used > LETTERS:
-                self.index.clear()
-                self.used = 0
-            for w in dict.fromkeys(words):
-                if w not in self.index:
-                    n = self.letters(w)
-                    k = len(self.index)
-                    if k == len(self.start):
-                        self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-                    while self.used + len(n) > len(self.flat):
-                        self.flat = np.resize(self.flat, 2 * len(self.flat))
-                    self.flat[self.used : self.used + len(n)] = n
-                    self.index[w], self.start[k], self.size[k] = k, self.used, len(n)
-                    self.used += len(n)
-            at = [self.index[w] for w in words]
-        at = np.array(at, np.int64)
+        if len(self.index) >= CACHE or self.used > LETTERS:
+            self.index.clear()
+            self.used = 0
+        index = self.index
+        at = np.array([index.get(w, -1) for w in words], np.int64)
+        for i in np.flatnonzero(at < 0).tolist():
+            w = words[i]
+            k = index.get(w)
+            if k is None:
+                n = self.letters(w)
+                k = len(index)
+                if k == len(self.start):
+                    self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
+                while self.used + len(n) > len(self.flat):
+                    self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.flat[self.used : self.used + len(n)] = n
+                index[w], self.start[k], self.size[k] = k, self.used, len(n)
+                self.used += len(n)
+            at[i] = k
         return self.start[at], self.size[at], self.flat[self.start[at] + self.size[at] - 1]
 
     def plain_prefixes(self, text: str) -> np.ndarray:
