@@ -6,9 +6,9 @@ same document further left. Strings never cross documents, and are judged on the
 Routing. The collection is cut into sub-collections that can be sorted apart: a window of WIDTH bytes belongs to its
 minimizer, the GRAM-byte string in it of least hash (the leftmost, if equal). Equal windows have equal minimizers at the same place, so
 they meet. Consecutive windows with one minimizer occurrence form a segment, which is what is shuffled, packed by bucket
-and compressed. Frequent grams, found in a bounded sample of documents, hash above all others, so a window that has any
+and compressed. Frequent grams, counted over all documents, hash above all others, so a window that has any
 other gram is routed by that: a common line brings together only the windows that lie in it, which are equal. Which grams
-count as frequent changes routes, never results.
+count as frequent changes routes, never results. Their counts are shuffled packed, by ranges of hashes.
 
 Construction. In a sub-collection the segments are aligned at their minimizer and built up column by column from the
 right: each round inserts one symbol per segment, read from a sequential column file, and updates the order of all
@@ -51,8 +51,8 @@ LAST = (1 << 63) - 1
 BLOCK, FLUSH, LOT = 1 << 19, 10 << 20, 60_000
 #: Rows that are returned at once.
 ROWS = 500
-#: Documents sampled for frequent grams, and the share of them from which a gram is frequent.
-SAMPLE, FREQUENT = 20_000, 0.001
+#: The share of all documents from which a gram is frequent, and the grams whose counts a task holds.
+FREQUENT, COUNTED = 0.001, 1 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -189,22 +189,23 @@ def folded(name: np.ndarray, doc: np.ndarray, start: np.ndarray, data: np.ndarra
 
 
 META = (("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("lean", "u1"), ("windows", "u1"))
+COUNTS = (("key", "<i8"), ("n", "<i8"))
 
 
-def pack_meta(meta: dict[str, np.ndarray]) -> bytes:
+def pack_meta(meta: dict[str, np.ndarray], columns: tuple[tuple[str, str], ...] = META) -> bytes:
     """Columns one after another, documents and keys as differences, the bytes of like weight together: so they compress."""
     out = []
-    for name, kind in META:
+    for name, kind in columns:
         v = meta[name].astype(kind)
         v = np.diff(v, prepend=v.dtype.type(0)) if name in ("doc", "key") else v
         out.append(v.view(np.uint8).reshape(len(v), -1).T.tobytes())
     return b"".join(out)
 
 
-def unpack_meta(raw: bytes, n: int) -> tuple[dict[str, np.ndarray], int]:
+def unpack_meta(raw: bytes, n: int, columns: tuple[tuple[str, str], ...] = META) -> tuple[dict[str, np.ndarray], int]:
     """The columns, and the bytes they took."""
     out, at = {}, 0
-    for name, kind in META:
+    for name, kind in columns:
         size = np.dtype(kind).itemsize
         v = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
         out[name] = np.cumsum(v) if name in ("doc", "key") else v
@@ -381,30 +382,75 @@ def solve_bucket(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return merge_runs(*(np.concatenate(c) for c in zip(*spans, strict=True)))
 
 
-def frequent_grams(docs: DataFrame, text: str) -> np.ndarray:
-    """Hashes of the minimizers that many sampled documents have: at most segments of SAMPLE documents over FREQUENT of them."""
-    total = docs.count()
-    if not total:
-        return np.zeros(0, np.uint32)
-    share = min(1.0, SAMPLE / total)
-    some = docs.where(F.pmod(F.xxhash64("did", F.lit(7)), F.lit(1 << 60)) < int(share * (1 << 60))).select(text)
+def tally(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of many counts, in order, and the sums of their counts."""
+    value, inv = np.unique(np.concatenate([v for v, _ in counts]), return_inverse=True)
+    n = np.zeros(len(value), np.int64)
+    np.add.at(n, inv, np.concatenate([c for _, c in counts]))
+    return value, n
+
+
+def frequent_grams(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
+    """Hashes of the minimizers that at least FREQUENT of all documents have, and 20 of them; each range of a long text counts as one."""
+    least = max(20, int(FREQUENT * docs.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fp, n = tally(held)
+            held.clear()
+            bucket = fp * buckets >> 32
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            blobs = [pack.compress((y - x).to_bytes(4, "little") + pack_meta({"key": fp[x:y], "n": n[x:y]}, COUNTS)) for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(fp)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(0))
             for i, j, lo, hi, _ in ranges(off):
                 s = Segments(data[lo:hi], offsets(off, i, j, lo, hi), np.zeros(0, np.uint32))
-                fp, n = np.unique(np.unique(s.fp.astype(np.uint64) << np.uint64(32) | s.row.astype(np.uint64)) >> np.uint64(32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
+                if not len(s.fp):
+                    continue
+                each = np.unique(s.fp.astype(np.uint64) << np.uint64(32) | s.row.astype(np.uint64)) >> np.uint64(32)
+                held.append(np.unique(each.astype(np.int64), return_counts=True))
+                size += len(held[-1][0])
+                if size >= COUNTED:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+        trim()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, counts = None, []
+        unpack = zstandard.ZstdDecompressor()
+
+        def rows() -> pa.RecordBatch:
+            fp, n = tally(counts)
+            return pa.RecordBatch.from_arrays([pa.array(fp[n >= least])], names=["fp"])
+
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != last and counts:
+                    yield rows()
+                    counts = []
+                last = k
+                raw = unpack.decompress(blob.as_py())
+                got, _ = unpack_meta(raw[4:], int.from_bytes(raw[:4], "little"), COUNTS)
+                counts.append((got["key"], got["n"]))
+        if counts:
+            yield rows()
+        trim()
 
-    least = max(20, int(FREQUENT * min(total, SAMPLE)))
-    got = some.mapInArrow(run, "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp").toArrow()
-    return np.sort(got["fp"].to_numpy().astype(np.uint32))
+    counted = docs.select(text).mapInArrow(count, "bucket bigint, blob binary").repartition(-(-buckets // 8), "bucket").sortWithinPartitions("bucket")
+    return np.sort(counted.mapInArrow(add_up, "fp bigint").toArrow()["fp"].to_numpy().astype(np.uint32))
 
 
 def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
     """docs: (did, text_key, text) -> (did, text_key, start, stop), joined within each bucket and block."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, "text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, "text", buckets))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[dict, bytes]]] = {}

@@ -78,6 +78,24 @@ def test_small_lots_and_frequent_grams(docs, rows, monkeypatch):
     assert {(r.doc_id, len(r.kept)) for r in got.collect()} == {(d, n - k) for d, n, k, _, _ in removed(rows)}
 
 
+@pytest.mark.parametrize(("buckets", "counted"), [(1, 1 << 20), (7, 50)])
+def test_frequent_grams_are_counted_over_all_documents(spark, buckets, counted, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COUNTED", counted)
+    rng = random.Random(8)
+    lines = [passage(rng, 60)[:130] for _ in range(40)]
+    texts = [line for i, line in enumerate(lines) for _ in range(5 + i)]
+    texts += ["short"] * (25_000 - len(texts))  # frequent is what 25 documents have
+    docs = spark.createDataFrame(list(enumerate(texts)), "did long, text string").select("did", "text", suffix_dedup.F.encode("text", "UTF-8").alias("bytes"))
+    have = {}
+    for i, line in enumerate(lines):
+        h = [int(x) for x in suffix_dedup.gram_hashes(np.frombuffer(line.encode(), np.uint8))]
+        for fp in {h[min(range(k, k + 85), key=lambda p: (h[p] >> 1, p))] for k in range(len(line.encode()) - 99)}:
+            have[fp] = have.get(fp, 0) + 5 + i
+    want = sorted(fp for fp, n in have.items() if n >= 25)
+    assert want and len(want) < len(have)
+    assert suffix_dedup.frequent_grams(docs, "bytes", buckets).tolist() == want
+
+
 def test_column_order_in_lots(rows, monkeypatch):
     """The in-memory construction, with tiny lots, on one bucket."""
     monkeypatch.setattr(suffix_dedup, "LOT", 3)
