@@ -183,3 +183,29 @@ def test_inverted_index_has_every_term(spark):
         tf.update(words)
     got = {r.term: (r.df, r.tf) for r in catalogue.QUERIES["inverted_index"](spark, DATA).collect()}
     assert min(df.values()) == 1 and got == {w: (n, tf[w]) for w, n in df.items()}
+
+
+def twins(spark, folder, name, **tables):
+    """Sorted rows of a query and of its SQL over the given tables, written out so that -0.0 differs from 0.0."""
+    con = pytest.importorskip("duckdb").connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    a = catalogue.QUERIES[name](spark, str(folder))
+    b = con.sql(f"select {', '.join(a.columns)} from ({catalogue.ORACLE[name]})")
+    return sorted(repr(tuple(r)) for r in a.collect()), sorted(repr(r) for r in b.fetchall())
+
+
+def test_embedding_rollup_signs_ties_and_nulls(spark, tmp_path):
+    rows = [(1, [-1e-6] * 64, 1), (2, [2e-6, -0.25] * 32, 2), (3, [-4e-6, None] * 32, 2), (4, None, 2), (5, [1.5, -2.5] * 40, 3), (6, [0.5] * 3, None), (7, None, 4)]
+    rows += [(10 + k, [float(k), -k / 3] * 32, 5) for k in range(7)]
+    rows += [(20 + k, [0.015625 * (2 * k + i + 1) / 10 for i in range(64)], 20 + k) for k in range(50)]
+    one, two = twins(spark, tmp_path, "embedding_rollup", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert one == two and "-0.0," in two[0] and len(one) == 56
+
+
+@pytest.mark.parametrize("x", [-1e-6, -0.0, 0.0, 4e-6, -5e-6, -4.667545, 18.797015, 0.123455, 1e300, float("inf"), float("nan"), None])
+def test_rounded_is_the_twins_round(spark, x):
+    con = pytest.importorskip("duckdb").connect()
+    got = spark.createDataFrame([(x,)], "x double").select(catalogue.rounded(F.col("x"), 5)).first()[0]
+    assert repr(got) == repr(con.execute("select round(?::double, 5)", [x]).fetchall()[0][0])
