@@ -209,3 +209,14 @@ def test_rounded_is_the_twins_round(spark, x):
     con = pytest.importorskip("duckdb").connect()
     got = spark.createDataFrame([(x,)], "x double").select(catalogue.rounded(F.col("x"), 5)).first()[0]
     assert repr(got) == repr(con.execute("select round(?::double, 5)", [x]).fetchall()[0][0])
+
+
+def test_overlap_join_takes_the_nearest_second(spark, tmp_path):
+    import datetime as dt
+
+    micros = (-500_001, -500_000, -1, 0, 1, 499_999, 500_000, 500_001, 999_999)
+    rows = [(p, dt.datetime(y, 1, 1, 12) + dt.timedelta(microseconds=m), u, "purchase") for u, y in ((1, 2024), (2, 1960), (None, 2024)) for p, m in enumerate(micros, 100 * (u or 3))]
+    rows += [(1000 + i, t + dt.timedelta(seconds=s + odd, microseconds=m), u, "error") for i, (_, t, u, _) in enumerate(rows) for s in (3600, -7200) for odd in (0, 1) for m in micros]
+    rows += [(5000, None, 1, "purchase"), (5001, None, 1, "error")]
+    one, two = twins(spark, tmp_path, "overlap_join", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    assert one == two and two
