@@ -220,3 +220,13 @@ def test_overlap_join_takes_the_nearest_second(spark, tmp_path):
     rows += [(5000, None, 1, "purchase"), (5001, None, 1, "error")]
     one, two = twins(spark, tmp_path, "overlap_join", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
     assert one == two and two
+
+
+def test_time_bucket_takes_the_nearest_millisecond(spark, tmp_path):
+    import datetime as dt
+
+    micros = (-1501, -1500, -501, -500, -499, -1, 0, 1, 499, 500, 1500)
+    rows = [(h + dt.timedelta(microseconds=m), k + 0.01) for h in (dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 7, 1), dt.datetime(1970, 1, 1), dt.datetime(1969, 12, 31, 22)) for k, m in enumerate(micros)]
+    rows += [(dt.datetime(2024, 2, 1, h), v) for h, v in ((1, -1e-5), (2, 1e-5), (3, None), (4, -46.67545), (5, 1.23455), (6, float("nan")))] + [(None, 3.0)]
+    one, two = twins(spark, tmp_path, "time_bucket", events=spark.createDataFrame(rows, "ts timestamp_ntz, value double"))
+    assert one == two and len(one) == 14
